@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorewright.llm import best_fit_packing, decontamination, simhash_dedup
+from scorewright.llm import best_fit_packing, decontamination, pii, simhash_dedup, toxicity
 from scorewright.llm.common import materialise, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that of the smallest id."""
     return simhash_dedup.keep_one(docs)
@@ -18,14 +23,25 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked, terms that disclose it are generalised or removed; every document stays."""
+    return pii.sanitise(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in the training sequences."""
     return best_fit_packing.pack(docs)
 
 
-STAGES = [("simhash_dedup", dedup), ("decontamination", decontaminate), ("best_fit_packing", packing)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_dedup", dedup),
+    ("decontamination", decontaminate),
+    ("pii", sanitise),
+    ("best_fit_packing", packing),
+]
 
-#: No SQL: fingerprints, a trained classifier and an online packing can't be said in it.
+#: No SQL: a trained classifier, fingerprints and an online packing can't be said in it.
 ORACLE_SQL = None
 
 

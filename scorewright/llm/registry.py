@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, decontamination, simhash_dedup
+from . import best_fit_packing, decontamination, pii, quality, simhash_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_pii": pii.query,
         "op3_decontamination": decontamination.query,
+        "op5_quality": quality.query,
         "op6_simhash_dedup": simhash_dedup.query,
         "op8_best_fit_packing": best_fit_packing.query,
+        "op9_toxicity": toxicity.query,
     }
 
 
