@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialise, small_batches
@@ -78,22 +78,27 @@ def _near(a: str, b: str, distance: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
 
+def _linkable(distance: int):
+    """Variants of more than two members, or of two that link; two others can't."""
+    return (F.col("m") > 2) | (F.col("m") == 2) & _near("a", "b", distance)
+
+
 def link(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(fp, component_id) for each distinct fingerprint of ``fps`` (doc_id, fp)."""
     if distance // len(SEGMENTS) > 1:
         raise ValueError("a segment could differ by more than one bit")
     own = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
-    keyed = variants(own.select("fp", "n"))
-    crowd = keyed.groupBy("key").agg(F.max_by("fp", F.struct("n", "fp")).alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = materialise(keyed.select("key", "fp").join(crowd.select("key", "pivot"), "key"), "simhash-shared")
-    stars = shared.where((F.col("fp") != F.col("pivot")) & _near("fp", "pivot", distance)).select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
+    # A variant's members are distinct fingerprints that share 21 bits, so a group of near copies has
+    # no more of them than there are ways to change a few of the other bits.
+    key = Window.partitionBy("key")
+    least, most, m = (f("fp").over(key) for f in (F.min, F.max, F.count))
+    crowd = variants(own.select("fp", "n")).withColumns({"m": m, "a": least, "b": most, "pivot": F.max_by("fp", "n").over(key)}).where(_linkable(distance))
+    stars = crowd.where((F.col("fp") != F.col("pivot")) & _near("fp", "pivot", distance)).select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
     stars = materialise(stars.distinct(), "simhash-stars")
     comp = materialise(components(stars, "simhash-cc"), "simhash-comp")
-    named = shared.join(comp.select(F.col("node").alias("fp"), "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    named = named.join(comp.select(F.col("node").alias("pivot"), F.col("comp").alias("pc")), "pivot", "left").withColumn("pc", F.coalesce("pc", "pivot"))
-    named = named.select("key", "fp", "comp", "pc")
-    mixed = named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-    rest = materialise(named.join(mixed, "key"), "simhash-mixed")
+    named = own.join(comp.select(F.col("node").alias("fp"), "comp"), "fp", "left").select("fp", "n", F.coalesce("comp", "fp").alias("comp"))
+    mixed = variants(named).withColumns({"m": m, "a": least, "b": most, "c0": F.min("comp").over(key), "c1": F.max("comp").over(key), "pc": F.max_by("comp", "n").over(key)})
+    rest = materialise(mixed.where(_linkable(distance) & (F.col("c0") != F.col("c1"))).select("key", "fp", "comp", "pc"), "simhash-mixed")
     few = rest.where("comp <> pc").select("key", F.col("fp").alias("u"), F.col("comp").alias("cu"))
     every = rest.select("key", F.col("fp").alias("v"), F.col("comp").alias("cv"))
     more = few.join(every, (few["key"] == every["key"]) & (F.col("cu") != F.col("cv")) & _near("u", "v", distance))
