@@ -8,14 +8,16 @@ bounds. L1 leaves few weights other than zero; those are what a scoring task get
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import scratch_dir, small_batches
 
 DIMS = 1 << 18
 #: Groups at most, and rows that a group has at least, where there are several.
@@ -23,7 +25,7 @@ SHARDS, SHARD_ROWS = 12, 1000
 ROUNDS = 6
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 2.0, 0.1
 #: Labelled rows that training takes at most (in expectation: a threshold on a hash of the id).
-MOST_LABELLED = 60_000
+MOST_LABELLED = 20_000
 BIAS = DIMS
 
 Features = Callable[[str], np.ndarray]
@@ -68,12 +70,12 @@ def held_out(doc_id: str):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def _one_pass(state, k: int):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+def _one_pass(state):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z, n = (a.copy() for a in state.value)
-        part = part.sort_values("doc_id").sample(frac=1, random_state=k)
-        touched = np.flatnonzero(pass_over(zip(part["x"], part["y"], strict=True), z, n))
-        return pd.DataFrame({"i": touched, "z": z[touched], "n": n[touched]})
+        rows = ((x, y) for b in batches for x, y in zip(b["x"], b["y"], strict=True))
+        touched = np.flatnonzero(pass_over(rows, z, n))
+        yield pd.DataFrame({"i": touched, "z": z[touched], "n": n[touched]})
 
     return run
 
@@ -87,20 +89,25 @@ def train(rows: DataFrame, features: Features) -> tuple[np.ndarray, np.ndarray]:
     def hashed(text: pd.Series) -> pd.Series:
         return pd.Series([np.unique(features(t or "")) for t in text])
 
-    data = materialise(rows.select("doc_id", hashed("text").alias("x"), "y"), "ftrl-rows")
-    shards = max(1, min(SHARDS, data.count() // SHARD_ROWS))
-    data = data.withColumn("shard", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(shards)))
+    shards = max(1, min(SHARDS, rows.count() // SHARD_ROWS))
+    shard = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(shards)).cast("int").alias("shard")
+    # a folder for each group: a round reads a group in one task, in the same order, without a shuffle
+    path = f"{scratch_dir(spark)}/ftrl-{uuid.uuid4().hex}"
+    rows.select("y", hashed("text").alias("x"), shard).write.partitionBy("shard").parquet(path)
+    schema = "y int, x array<int>"
+    found = sorted(r[0] for r in spark.read.schema(schema + ", shard int").parquet(path).select("shard").distinct().collect())  # at most SHARDS
+    groups = [spark.read.schema(schema).parquet(f"{path}/shard={k}").coalesce(1) for k in found]
+    if not groups:
+        return np.zeros(0, np.int32), np.zeros(0)
+    data = reduce(DataFrame.union, groups)
     z, n = np.zeros(DIMS + 1), np.zeros(DIMS + 1)
-    for k in range(ROUNDS):
+    for _ in range(ROUNDS):
         state = spark.sparkContext.broadcast((z, n))
-
-        mixed = data.groupBy("shard").applyInPandas(_one_pass(state, k), "i int, z double, n double")
+        mixed = data.mapInPandas(_one_pass(state), "i int, z double, n double")
         got = mixed.groupBy("i").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas()  # DIMS + 1 rows at most
         z, n = z.copy(), n.copy()
         z[got["i"]], n[got["i"]] = got["z"], got["n"]
         state.destroy()
-        if got.empty:
-            return np.zeros(0, np.int32), np.zeros(0)
     w = weights(z, n)
     some = np.flatnonzero(w).astype(np.int32)
     return some, w[some]
