@@ -9,8 +9,8 @@ and give at least ``GENERALISE`` of its information are generalised to their sha
 or more they are removed. Only mentions' surroundings are touched, so a document without personal
 data stays as it is.
 
-Frequencies count all documents: contexts and words are summed by key before the shuffle, words are
-first cut to the terms that some context supports, and texts are never shuffled for counting.
+Frequencies count all documents: contexts and words are summed by key before the shuffle, and texts
+are never shuffled for counting.
 
 Null and empty texts have no spans. Repeated rows are each reported; every row counts as a
 document. Documents are told apart by id and text, null ids included. Extra columns are ignored, or
@@ -166,8 +166,7 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     pairs = found.select(F.explode(F.array_distinct(F.transform("ctx", lambda c: F.struct(c["entity"], c["term"])))).alias("x")).select("x.entity", "x.term")
     both = materialise(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= SUPPORT), "pii-joint")
     words = F.array_distinct(F.transform(F.regexp_extract_all(text_of(docs), F.lit(WORD), F.lit(0)), F.lower))
-    in_all = docs.select(F.explode(words).alias("term"))
-    term_docs = in_all.join(both.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+    term_docs = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
     mentioned = found.select(F.explode(F.array_distinct(F.transform("base", lambda s: _canonical(s["kind"], s["value"])))).alias("entity"))
     entity_docs = mentioned.groupBy("entity").agg(F.count(F.lit(1)).alias("ef"))
     out = both.join(term_docs, "term").join(entity_docs, "entity").where(F.col("ef") < total)
