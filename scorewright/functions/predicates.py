@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Prefixes of placeholder names that tools give to functions they can't name.
 PLACEHOLDERS = ("sub", "FUN", "fcn", "loc", "nullsub", "unk", "off", "byte", "word", "dword", "j")
 #: Labels of ARM targets.
-ARM_LABELS = ("arm", "cortex-m", "thumb")
+ARM_LABELS = ("cps", "arm", "armv7", "aarch64", "arm64", "bare-metal", "embedded-linux")
 
 
 def finite(value: Column) -> Column:

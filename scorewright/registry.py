@@ -624,8 +624,8 @@ def _(spark, sf_dir):
 
 
 @_tables("operand_normalise", """WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'call' WHEN 1 THEN 'mov' ELSE 'adrp' END AS mnemonic, CASE page_id % 4 WHEN 0 THEN concat('0x', page_id) WHEN 1 THEN concat('rax, [rip + 0x', page_id, ']') WHEN 2 THEN concat('[rax + ', page_id, ']') ELSE concat('x0, #', page_id) END AS operands FROM pages),
-k AS (SELECT *, regexp_replace(operands, '\\[\\s*(rip|eip|pc)\\s*[,+-][^\\]]*\\]', '[\\1+X]', 'g') AS kept FROM p)
-SELECT page_id, CASE WHEN mnemonic = 'adrp' OR (mnemonic = 'call' AND NOT contains(kept, '[')) THEN regexp_replace(kept, '#?-?\\b(?:0x[0-9a-fA-F]+|\\d+)\\b', 'X', 'g') ELSE kept END AS normal FROM k""")
+k AS (SELECT *, regexp_replace(operands, '\\[(rip|pc)(?:\\s*[+\\-,]\\s*#?-?(?:0x[0-9a-fA-F]+|\\d+))?\\]', '[\\1+X]', 'g') AS kept FROM p)
+SELECT page_id, CASE WHEN mnemonic = 'adrp' OR (mnemonic = 'call' AND NOT contains(kept, '[')) THEN regexp_replace(kept, '#?-?(?:0x[0-9a-fA-F]+|\\d+)', 'X', 'g') ELSE kept END AS normal FROM k""")
 def _(spark, sf_dir):
     i = F.col("page_id")
     mnemonic = F.when(i % 3 == 0, "call").when(i % 3 == 1, "mov").otherwise("adrp")
