@@ -334,7 +334,8 @@ def graph_distance(a_nodes, a_edges, b_nodes, b_edges, most: int = GED_NODES) ->
     """Edits between two flow graphs: 0 if and only if isomorphic, the difference of sizes beyond ``most`` nodes.
 
     Between: nodes are assigned so that parents' and children's counts, and being an entry or exit,
-    differ least; the edits are those of the induced edge mapping. No source graph: infinite.
+    differ least; exchanges improve the mapping, and the edits are those that it and its edges need.
+    No source graph: infinite.
     """
     if not len(a_nodes):
         return float("inf")
@@ -357,11 +358,38 @@ def graph_distance(a_nodes, a_edges, b_nodes, b_edges, most: int = GED_NODES) ->
     for j in range(m):
         for i in range(m):
             cost[n + i][j] = 1 + len(h[0][j]) + len(h[1][j]) if i == j else 1e9
-    to = _assign(cost)
-    mapped = {i: to[i] for i in range(n) if to[i] < m}
-    kept = sum(1 for i in mapped for j in g[0][i] if j in mapped and mapped[j] in h[0][mapped[i]])
-    edits = (n - len(mapped)) + (m - len(mapped)) + (len(a_edges) - kept) + (len(b_edges) - kept)
-    return float(max(1, edits))
+    return float(max(1, _improved(_assign(cost)[:n], g, h)))
+
+
+def _improved(to: list[int], g, h) -> int:
+    """Edits of a node mapping (targets beyond ``h``: deleted), after exchanges that lower them."""
+    n, m = len(g[0]), len(h[0])
+    edges = sum(map(len, g[0])) + sum(map(len, h[0]))
+
+    def edits() -> int:
+        mapped = sum(t < m for t in to)
+        kept = sum(to[i] < m and to[j] < m and to[j] in h[0][to[i]] for i in range(n) for j in g[0][i])
+        return n + m - 2 * mapped + edges - 2 * kept
+
+    best, better = edits(), True
+    while better:
+        better = False
+        for i in range(n):
+            for t in range(m):
+                if to[i] == t:
+                    continue
+                k = to.index(t) if t in to else None
+                old = to[i]
+                to[i] = t
+                if k is not None:
+                    to[k] = old
+                if (e := edits()) < best:
+                    best, better = e, True
+                else:
+                    to[i] = old
+                    if k is not None:
+                        to[k] = t
+    return best
 
 
 def graph_distance_udf():

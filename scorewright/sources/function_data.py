@@ -40,6 +40,12 @@ def groups(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.inline("groups")).select("project", "opt_level", F.col("binary").alias("binary_name"), "labels")
 
 
+def _sorted(rows, *by: str):
+    """An array of structs that hold maps, sorted by some fields."""
+    key = lambda x: F.struct(*[x[c] for c in by])
+    return F.array_sort(rows, lambda a, b: F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0))
+
+
 def nested(data: Dataset, schema_version: int = 2) -> DataFrame:
     """One row in the document's form. Functions are grouped by binary; the document itself is one row, as its format asks."""
     entry = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
@@ -48,9 +54,9 @@ def nested(data: Dataset, schema_version: int = 2) -> DataFrame:
     tries = data.attempts.groupBy("fn_id").agg(entry("dec", "decompiled").alias("decompiled"), F.map_from_entries(F.array_compact(F.collect_list(F.when(F.col("compiles").isNotNull(), F.struct("dec", "compiles"))))).alias("compiles"))
     rows = data.functions.join(cells, "fn_id", "left").join(tries, "fn_id", "left")
     fn = F.struct("fn_id", F.col("function_name").alias("function"), "values", "distances", "perfects", "decompiled", "compiles", "labels", "datasets", "size")
-    by = rows.groupBy("project", "opt_level", "binary_name").agg(F.array_sort(F.collect_list(fn)).alias("fns"), F.array_distinct(F.flatten(F.collect_list("labels"))).alias("labels"))
+    by = rows.groupBy("project", "opt_level", "binary_name").agg(_sorted(F.collect_list(fn), "fn_id").alias("fns"), F.array_distinct(F.flatten(F.collect_list("labels"))).alias("labels"))
     group = F.struct("project", "opt_level", F.col("binary_name").alias("binary"), "labels", F.transform("fns", lambda x: x.dropFields("fn_id")).alias("functions"))
-    doc = by.agg(F.array_sort(F.collect_list(group)).alias("groups"))
+    doc = by.agg(_sorted(F.collect_list(group), "project", "opt_level", "binary").alias("groups"))
     names = data.decs.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dec"))), lambda x: x["dec"]).alias("decompilers"))
     metrics = data.metrics.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "metric"))), lambda x: x["metric"]).alias("metrics"), entry("metric", "perfect_value").alias("perfect_values"))
     return doc.crossJoin(names).crossJoin(metrics).select(F.lit(schema_version).alias("schema_version"), "decompilers", "metrics", "perfect_values", "groups")  # one row each
