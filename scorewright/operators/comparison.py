@@ -44,7 +44,7 @@ def hardest(data, code: DataFrame, k: int = 15, excluded_projects: DataFrame | N
     rows = rows.withColumn("gap", F.abs(F.col("value") - F.col("perfect_value"))).where((F.col("gap") > 0) & strictly_finite(F.col("value")))
     rows = rows.join(code.select("fn_id", "dec").distinct(), ["fn_id", "dec"], "left_semi").join(data.functions.select("fn_id", *KEY), "fn_id")
     if excluded_projects is not None:
-        rows = rows.join(F.broadcast(excluded_projects.select("project").distinct()), "project", "left_anti")
+        rows = rows.join(excluded_projects.select("project").distinct(), "project", "left_anti")
     w = Window.partitionBy("metric", "dec").orderBy(F.desc("gap"), F.desc("value"), *KEY)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("metric", "dec", "rank", *KEY, "value", "gap")
 

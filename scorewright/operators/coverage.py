@@ -68,8 +68,9 @@ def audit(checkpoint: DataFrame, artifacts: DataFrame, overlay: DataFrame, publi
     count = lambda df, n: df.groupBy(*SLICE).agg(F.count("function_name").alias(n))
     out = base.join(layer(artifacts, "art"), SLICE, "left").join(count(overlay, "ov"), SLICE, "left").join(count(published, "pub"), SLICE, "left").join(groups, GROUP, "left")
     out = out.fillna(0, ["all_art", "art", "ov", "pub"])
-    decs = published.select(F.col("dec").alias("pdec")).distinct()
-    out = out.join(F.broadcast(decs), (F.col("dec") == F.col("pdec")) | (base_name(F.col("dec")) == F.col("pdec")), "left_semi")  # a row for each tool
+    decs = published.select("dec").distinct()
+    exact, base = decs.withColumn("_exact", F.lit(True)), decs.select(F.col("dec").alias("_name"), F.lit(True).alias("_base"))
+    out = out.join(exact, "dec", "left").withColumn("_name", base_name(F.col("dec"))).join(base, "_name", "left").where("_exact or _base")
     if agents:
         on = manifest.select(*GROUP).distinct() if manifest is not None else groups.select(*GROUP).limit(0)
         out = out.join(on.withColumn("on_slice", F.lit(True)), GROUP, "left").where(~base_name(F.col("dec")).isin(*agents) | F.col("on_slice"))

@@ -52,7 +52,7 @@ def output_failures(facts: DataFrame, decs: list[str]) -> DataFrame:
 
 def by_size(rollup: DataFrame, loc: DataFrame) -> DataFrame:
     """Projects by lines of code, largest first, then by name."""
-    rows = rollup.join(F.broadcast(loc), "project", "left").withColumn("loc", F.coalesce("loc", F.lit(0)))
+    rows = rollup.join(loc, "project", "left").withColumn("loc", F.coalesce("loc", F.lit(0)))
     return rows.orderBy(F.desc("loc"), "project")
 
 

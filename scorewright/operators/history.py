@@ -11,7 +11,7 @@ from ..functions.predicates import base_name, version_key
 def history_points(scores: DataFrame, overall: DataFrame, base: str) -> DataFrame:
     """(dec, version, metric, pct, overall) of ``base@version`` ids, in the order of version numbers."""
     rows = scores.where(F.startswith(F.col("dec"), F.lit(base + "@"))).select("dec", "metric", "pct")
-    rows = rows.join(F.broadcast(overall.select("dec", F.col("pct").alias("overall"))), "dec")
+    rows = rows.join(overall.select("dec", F.col("pct").alias("overall")), "dec")
     version = F.substring_index("dec", "@", -1)
     return rows.select(base_name(F.col("dec")).alias("dec"), version.alias("version"), "metric", "pct", "overall").orderBy(version_key(F.col("version")), "metric")
 

@@ -55,7 +55,7 @@ def overlay_byte_match(data, new: DataFrame, add_only: bool = False) -> tuple[Da
     old = data.obs.where("metric = 'byte_match'")
     covered = new.select(*SLICE).distinct().withColumn("in_slice", F.lit(True))
     fresh = new.select(*SLICE, "function_name", F.col("value").cast("double").alias("v"), F.coalesce("compilable", F.lit(False)).alias("comp"), F.col("dist").cast("double").alias("d"))
-    rows = pairs.join(fresh, [*SLICE, "function_name"], "left").join(F.broadcast(covered) if add_only else covered, SLICE, "left")
+    rows = pairs.join(fresh, [*SLICE, "function_name"], "left").join(covered, SLICE, "left")
     drop = F.col("v").isNull() & F.coalesce("in_slice", F.lit(False)) & F.lit(not add_only)
     state = rows.select("fn_id", "dec", "v", "d", "comp", drop.alias("drop"))
     both = state.join(old.select("fn_id", "dec", F.col("value").alias("ov"), F.col("perfect").alias("op"), F.col("distance").alias("od")), ["fn_id", "dec"], "left")
