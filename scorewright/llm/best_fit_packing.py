@@ -12,6 +12,7 @@ Null ids stay null. Extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from array import array
@@ -29,39 +30,76 @@ END = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Space that every part of the tokenizer takes as space; it never has a token across it.
 SPACE = re.compile("[ \t\n\r]+")
-#: Entries of a worker's memo of space-delimited chunks, and the longest chunk that it holds.
+#: What only Python takes as space.
+ODD = re.compile("[\x1c-\x1f]")
+#: Words that normalising leaves alone but for the first letter's case, and that are one piece before the
+#: merges, so that they go straight to the model; then marks, which are a piece of their own.
+PLAIN = re.compile(r"([A-Z]?)([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: Bytes of such words that aren't printable, as the byte-level alphabet spells them: in order from U+0100.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_SHOWN)))}
+#: Entries of each of a worker's two memos of space-delimited chunks, and the longest chunk they hold.
 MEMO, MEMO_CHARS = 300_000, 40
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+class Memo(dict):
+    """Ids of chunks between spaces, as little-endian unsigned 32-bit numbers; a missing chunk is encoded.
+
+    A chunk has the same ids alone as in the text, and so have a word and the marks at its end.
+    """
+
+    def __init__(self, tokenizer, old: dict):
+        super().__init__()
+        self.encode, self.tokenize, self.old, self.marks = tokenizer.encode, tokenizer.model.tokenize, old, {"": b""}
+
+    def plainly(self, text: str) -> bytes:
+        return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            parts = PLAIN.fullmatch(chunk)
+            if parts is None:
+                ids = self.plainly(chunk)
+            else:
+                first, rest, tail = parts.groups()
+                word = first.lower() + rest if first else rest
+                ids = None if word == chunk else self.get(word)
+                if ids is None:
+                    spelt = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
+                    ids = array("I", [t.id for t in self.tokenize(spelt)]).tobytes()
+                    if len(word) <= MEMO_CHARS:
+                        self[word] = ids
+                if tail:
+                    marks = self.marks.get(tail)
+                    if marks is None:
+                        marks = self.plainly(tail)
+                        if len(tail) <= 3:
+                            self.marks[tail] = marks
+                    ids += marks
+        if len(chunk) <= MEMO_CHARS:
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
-    """Token ids of whole texts. Chunks between spaces are encoded alone, which gives the same ids, and kept."""
+    """Token ids of whole texts. The memo has two generations, so that frequent chunks outlive a full one."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
-
-    def _encode(self, chunks: list[str]) -> None:
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True):
-            self.memo[chunk] = array("I", e.ids)
-
-    def __call__(self, texts: list[str | None]) -> Iterator[array]:
-        for text in texts:
-            if len(self.memo) > MEMO:
-                self.memo = {}
-            chunks, ids, memo = SPACE.split(text or ""), array("I"), self.memo
-            new = [c for c in dict.fromkeys(chunks) if c not in memo]
-            for i in range(0, len(new), 20_000):
-                self._encode(new[i : i + 20_000])
-            for c in chunks:
-                ids.extend(memo[c])
-            for c in new:
-                if len(c) > MEMO_CHARS:
-                    del memo[c]
-            ids.append(END)
-            yield ids
+        self.tokenizer = Tokenizer.from_file(path)
+        self.memo = Memo(self.tokenizer, {})
+
+    def __call__(self, text: str | None) -> bytes:
+        text = text or ""
+        if len(self.memo) > MEMO:
+            self.memo.old = {}
+            self.memo = Memo(self.tokenizer, dict(self.memo))
+        chunks = SPACE.split(text.strip(" \t\n\r")) if ODD.search(text) else text.split()
+        return b"".join(map(self.memo.__getitem__, chunks)) + END.to_bytes(4, "little")
 
 
 class Packer:
@@ -111,17 +149,17 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.disable()  # the memos are large and hold no cycles
         encode = Encoder(vocabulary or public_tokenizers.path(VOCABULARY))
         packer = Packer(capacity, open_bins, TaskContext.get().partitionId() << 36)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch["doc_id"], encode(list(batch["text"])), strict=True):
+            for doc_id, ids in zip(batch["doc_id"], map(encode, batch["text"]), strict=True):
                 own = None if doc_id is None or doc_id != doc_id else int(doc_id)  # text: pandas makes longs with nulls floats
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    seq, offset = packer.add(len(part))
-                    raw = np.frombuffer(part, np.uintc).astype("<u4").tobytes()
-                    rows.append((own, piece, start, len(part), zlib.crc32(raw), seq, offset))
+                for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[start : start + 4 * capacity]
+                    seq, offset = packer.add(len(part) // 4)
+                    rows.append((own, piece, start // 4, len(part) // 4, zlib.crc32(part), seq, offset))
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
             yield pd.DataFrame({n: pd.array([r[i] for r in rows], dtype="Int64") for i, n in enumerate(names)})
 

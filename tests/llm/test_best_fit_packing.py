@@ -17,6 +17,8 @@ TEXTS = [
     "word " * 9000,
     "日本語 テキスト, don't we'll!!! __ $$$%%% 😀",
     "a" * 500,
+    " ".join(chr(c) + "x" + chr(c) for c in range(0xC0, 0x180)) + " Ñandú, ÉCOLE. straße ÿ İx I\u0307x",
+    "word. Word, wOrd. word.. word, 1. 1, é. ., , . It's we'll a'b x_y_ z### é%%% e\u0301. e\u0301 <|x|> Word's... ¡no! ª º Ö. µ.",
 ]
 
 
@@ -35,6 +37,21 @@ def test_ids_are_the_tokenizers(spark):
             assert (r.start, r.length, r.ids_crc32) == (k * 4096, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
 
 
+def test_memo_generations():
+    """Ids stay the same when the memo overflows again and again."""
+    path = public_tokenizers.path(op.VOCABULARY)
+    tok, encode = Tokenizer.from_file(path), op.Encoder(path)
+    most, op.MEMO = op.MEMO, 20
+    try:
+        r = np.random.default_rng(1)
+        for _ in range(30):
+            texts = [" ".join(r.choice(["Ab", "cd,", "é.", "xyz", "Q!", "zzz9"]) * int(k) for k in r.integers(1, 9, 40)) for _ in range(5)]
+            for t, raw in zip(texts, map(encode, texts), strict=True):
+                assert np.frombuffer(raw, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids + [1]
+    finally:
+        op.MEMO = most
+
+
 def check_layout(out):
     seqs = defaultdict(list)
     for r in out:
