@@ -104,9 +104,10 @@ def train(rows: DataFrame, features: Features) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(ROUNDS):
         state = spark.sparkContext.broadcast((z, n))
         mixed = data.mapInPandas(_one_pass(state), "i int, z double, n double")
-        got = mixed.groupBy("i").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas()  # DIMS + 1 rows at most
+        got = mixed.groupBy("i").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()  # DIMS + 1 rows at most
         z, n = z.copy(), n.copy()
-        z[got["i"]], n[got["i"]] = got["z"], got["n"]
+        at = got["i"].to_numpy()
+        z[at], n[at] = got["z"].to_numpy(), got["n"].to_numpy()
         state.destroy()
     w = weights(z, n)
     some = np.flatnonzero(w).astype(np.int32)
