@@ -1,11 +1,11 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's elements are its paragraphs (lines, long ones cut at ends of sentences): each of its
-occurrences numbered, as a 64-bit digest. A sketch has cells in three tables of equal size; an
-element goes into one cell of each, which keeps a count, the XOR of digests and the XOR of their
-check hashes. Cells of two versions subtract; peeling cells that hold a single element recovers
-the digests that only one version has. When a peeling fails, the pair's sketches are rebuilt four
-times as large, and so on until they hold all elements with room to spare.
+A text's elements are its paragraphs (lines, and sentences in them), each with which of its
+occurrences it is, as a 64-bit digest of which the last ``CHECK`` bits are a check of the others. A
+sketch has cells in three tables of equal size; an element goes into one cell of each, which keeps a
+count and the XOR of digests. Cells of two versions subtract; peeling cells that hold a single
+element recovers the digests that only one version has. A pair's first sketches are sized by its
+numbers of elements. When a peeling fails, they are rebuilt four times as large, and so on.
 
 The sketch is kept sparse, as the sorted cells that aren't empty. Everything is an expression on
 one row's arrays: n log n in the number of paragraphs, no Python and no shuffle. Only the edited
@@ -23,59 +23,71 @@ from pyspark.sql import functions as F
 
 from .common import let, materialise, table, text_of
 
-#: Cells of the fingerprint, over all three tables.
+#: Cells of the fingerprint, over all three tables, and bits of a digest that check the rest.
 CELLS = 48
+CHECK = 20
 GROWTH = 4
 #: Rounds of peeling in which all single cells go at once.
 ROUNDS = 24
-PARAGRAPH = r"\s*\n\s*|(?<=[.!?])\s+"
-CELL = "array<struct<cell:int,n:int,key:bigint,check:bigint>>"
-
+PARAGRAPH = r"[.!?]+\s+|\n"
 _EMPTY = "array<bigint>"
 
 
-def _runs(ordered: Column, same: str | None) -> Column:
-    """array<struct<first, size>> of the runs of equal elements (or of equal ``same`` fields) in a sorted array."""
-    of = (lambda x: x[same]) if same else (lambda x: x)
+def _runs(ordered: Column, of) -> Column:
+    """array<struct<first, size>> of the runs of elements with equal ``of`` in a sorted array."""
     heads = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: (i == 1) | (of(ordered[i - 1]) != of(F.get(ordered, i - 2))))
     sized = let(heads, lambda h: F.transform(h, lambda first, i: F.struct(first.alias("first"), (F.coalesce(F.get(h, i + 1), F.size(ordered) + 1) - first).alias("size"))))
     return F.when(F.size(ordered) > 0, sized).otherwise(F.array().cast("array<struct<first:int,size:int>>"))
 
 
+def digest(*parts: Column) -> Column:
+    """A hash whose last ``CHECK`` bits follow from the others, so that a XOR of several digests hardly ever looks like one."""
+    return let(F.shiftright(F.xxhash64(*parts), CHECK), lambda h: F.shiftleft(h, CHECK).bitwiseOR(_check(h)))
+
+
+def _check(high: Column) -> Column:
+    return F.xxhash64(high).bitwiseAND(F.lit((1 << CHECK) - 1))
+
+
+def _is_digest(key: Column) -> Column:
+    return key.bitwiseAND(F.lit((1 << CHECK) - 1)) == _check(F.shiftright(key, CHECK))
+
+
 def elements(text: Column) -> Column:
     """Sorted digests of the paragraphs, each with which of its occurrences it is."""
-    parts = F.filter(F.split(text, PARAGRAPH), lambda p: F.trim(p) != "")
-    digests = F.sort_array(F.transform(parts, lambda p: F.xxhash64(F.trim(p))))
-    each = lambda d: lambda r: F.transform(F.sequence(F.lit(1), r["size"]), lambda k: F.xxhash64(d[r["first"] - 1], k))
-    counted = let(digests, lambda d: F.flatten(F.transform(_runs(d, None), each(d))))
-    return F.sort_array(counted)
+    parts = F.array_remove(F.transform(F.split(text, PARAGRAPH), F.trim), "")
+    hashes = F.sort_array(F.transform(parts, lambda p: F.xxhash64(p)))
+    each = lambda d: lambda r: F.transform(F.sequence(F.lit(1), r["size"]), lambda k: digest(d[r["first"] - 1], k))
+    return F.sort_array(let(hashes, lambda d: F.flatten(F.transform(_runs(d, lambda x: x), each(d)))))
 
 
-def _updates(keys: Column, cells: Column, sign: int | Column) -> Column:
+def _updates(keys: Column, cells: Column, sign: int) -> Column:
     """One row per element and table, to be summed by cell."""
-    third = F.floor(cells / 3).cast("int")
-    sign = F.lit(sign) if isinstance(sign, int) else sign
-
-    def three(k: Column) -> Column:
-        at = lambda j: (F.pmod(F.xxhash64(k, F.lit(j)), third.cast("long")) + third * j).cast("int")
-        return F.array(*[F.struct(at(j).alias("cell"), sign.alias("n"), k.alias("key"), F.xxhash64(k, F.lit(9)).alias("check")) for j in range(3)])
-
+    third = F.floor(cells / 3)
+    at = lambda k, j: (F.pmod(F.xxhash64(k, F.lit(j)), third) + third * j).cast("int")
+    three = lambda k: F.array(*[F.struct(at(k, j).alias("cell"), F.lit(sign).alias("n"), k.alias("key")) for j in range(3)])
     return F.flatten(F.transform(keys, three))
 
 
 def _summed(updates: Column) -> Column:
-    """Updates or cells summed by cell; cells with nothing left are dropped."""
+    """Updates or cells summed by cell; cells with nothing left are dropped.
+
+    What is sorted are numbers, of the cell and then of the place in ``updates``: rows compare slowly.
+    """
+    place = lambda p: p.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    cell = lambda p: F.shiftright(p, 32)
+
+    def total(u: Column, p: Column, r: Column) -> Column:
+        at = lambda q: u[place(q)]
+        add = lambda a, q: F.struct(a["cell"].alias("cell"), (a["n"] + at(q)["n"]).alias("n"), a["key"].bitwiseXOR(at(q)["key"]).alias("key"))
+        first = at(p[r["first"] - 1])
+        return F.when(r["size"] == 1, first).otherwise(F.aggregate(F.slice(p, r["first"] + 1, r["size"] - 1), first, add))
 
-    def total(part: Column) -> Column:
-        zero = F.struct(part[0]["cell"].alias("cell"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
-        return F.aggregate(
-            part,
-            zero,
-            lambda a, x: F.struct(a["cell"].alias("cell"), (a["n"] + x["n"]).alias("n"), a["key"].bitwiseXOR(x["key"]).alias("key"), a["check"].bitwiseXOR(x["check"]).alias("check")),
-        )
+    def sums(u: Column) -> Column:
+        keyed = F.transform(u, lambda x, i: F.shiftleft(x["cell"].cast("long"), 32).bitwiseOR(i.cast("long")))
+        return let(F.sort_array(keyed), lambda p: F.transform(_runs(p, cell), lambda r: total(u, p, r)))
 
-    sums = let(F.array_sort(updates), lambda u: F.transform(_runs(u, "cell"), lambda r: let(F.slice(u, r["first"], r["size"]), total)))
-    return F.filter(sums, lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0))
+    return F.filter(let(updates, sums), lambda c: (c["n"] != 0) | (c["key"] != 0))
 
 
 def sketch(keys: Column, cells: int | Column = CELLS) -> Column:
@@ -84,10 +96,10 @@ def sketch(keys: Column, cells: int | Column = CELLS) -> Column:
     return _summed(_updates(keys, cells, 1))
 
 
-def subtract(a: Column, b: Column) -> Column:
-    """Cells of ``a`` minus cells of ``b``."""
-    minus = F.transform(b, lambda c: F.struct(c["cell"].alias("cell"), (-c["n"]).alias("n"), c["key"].alias("key"), c["check"].alias("check")))
-    return _summed(F.concat(a, minus))
+def subtract(a: Column, b: Column, cells: int | Column = CELLS) -> Column:
+    """The sketch of the elements ``a`` minus that of ``b``: cells take the one's elements in and the other's out."""
+    cells = F.lit(cells) if isinstance(cells, int) else cells
+    return _summed(F.concat(_updates(a, cells, 1), _updates(b, cells, -1)))
 
 
 def peel(difference: Column, cells: int | Column = CELLS) -> Column:
@@ -96,41 +108,37 @@ def peel(difference: Column, cells: int | Column = CELLS) -> Column:
     none = F.array().cast(_EMPTY)
     zero = F.struct(difference.alias("cells"), none.alias("plus"), none.alias("minus"))
 
-    def single(sign: int):
-        return lambda c: (c["n"] == sign) & (c["check"] == F.xxhash64(c["key"], F.lit(9)))
-
     def step(s: Column, _: Column) -> Column:
-        keys = lambda sign: F.array_distinct(F.transform(F.filter(s["cells"], single(sign)), lambda c: c["key"]))
-
-        def take(found: Column) -> Column:
-            left = _summed(F.concat(s["cells"], _updates(found["p"], cells, -1), _updates(found["m"], cells, 1)))
-            return F.struct(left.alias("cells"), F.concat(s["plus"], found["p"]).alias("plus"), F.concat(s["minus"], found["m"]).alias("minus"))
+        single = F.filter(s["cells"], lambda c: (F.abs(c["n"]) == 1) & _is_digest(c["key"]))
+        keys = lambda found, sign: F.array_distinct(F.transform(F.filter(found, lambda c: c["n"] == sign), lambda c: c["key"]))
 
-        def go(found: Column) -> Column:
-            return F.when((F.size(found["p"]) == 0) & (F.size(found["m"]) == 0), s).otherwise(take(found))
+        def take(f: Column) -> Column:
+            left = _summed(F.concat(s["cells"], _updates(f["p"], cells, -1), _updates(f["m"], cells, 1)))
+            return F.struct(left.alias("cells"), F.concat(s["plus"], f["p"]).alias("plus"), F.concat(s["minus"], f["m"]).alias("minus"))
 
-        return F.when(F.size(s["cells"]) == 0, s).otherwise(let(F.struct(keys(1).alias("p"), keys(-1).alias("m")), go))
+        go = lambda found: F.when(F.size(found) == 0, s).otherwise(let(F.struct(keys(found, 1).alias("p"), keys(found, -1).alias("m")), take))
+        return F.when(F.size(s["cells"]) == 0, s).otherwise(let(single, go))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), zero, step)
 
 
-def difference(a: Column, b: Column, first: int = CELLS) -> Column:
+def difference(a: Column, b: Column) -> Column:
     """struct<ok, plus, minus, cells>: digests only in ``a`` and only in ``b``, by sketches that grow until peeling succeeds.
 
-    ``first`` cells are tried first. The largest sketch has over four cells for each element of both
-    texts; should its peeling still fail (a cycle of hashes), the digests themselves are compared.
+    The first sketches have four cells for each element of the larger text, and ``CELLS`` at least:
+    enough for two texts with little in common. Three sizes are tried; should they all fail (a cycle
+    of hashes), the digests themselves are compared.
     """
     none = F.array().cast(_EMPTY)
-    zero = F.struct(F.lit(False).alias("ok"), none.alias("plus"), none.alias("minus"), F.lit(first).alias("cells"))
-    levels = F.greatest(F.lit(1), F.ceil(F.log((F.size(a) + F.size(b) + 1) * 4.0 / first) / F.log(F.lit(float(GROWTH)))).cast("int") + 1)
-    sizes = F.transform(F.sequence(F.lit(0), levels), lambda k: (F.lit(first) * F.pow(F.lit(float(GROWTH)), k)).cast("int"))
+    first = F.greatest(F.lit(CELLS), 4 * F.greatest(F.size(a), F.size(b)))
+    zero = F.struct(F.lit(False).alias("ok"), none.alias("plus"), none.alias("minus"), F.lit(0).alias("cells"))
 
     def attempt(s: Column, m: Column) -> Column:
         out = lambda r: F.struct((F.size(r["cells"]) == 0).alias("ok"), r["plus"].alias("plus"), r["minus"].alias("minus"), m.alias("cells"))
-        tried = let(peel(subtract(sketch(a, m), sketch(b, m)), m), out)
-        return F.when(s["ok"], s).otherwise(tried)
+        return F.when(s["ok"], s).otherwise(let(peel(subtract(a, b, m), m), out))
 
     plain = lambda s: F.struct(F.lit(True).alias("ok"), F.array_except(a, b).alias("plus"), F.array_except(b, a).alias("minus"), s["cells"].alias("cells"))
+    sizes = let(first, lambda m: F.array(m, m * GROWTH, m * GROWTH * GROWTH))
     return let(F.aggregate(sizes, zero, attempt), lambda s: F.when(s["ok"], s).otherwise(plain(s)))
 
 
@@ -147,7 +155,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def printed(keys: Column) -> Column:
     """The fingerprint as text: number of elements, then the cells in hexadecimal."""
-    cell = lambda c: F.concat_ws(".", F.hex(c["cell"].cast("long")), F.hex(c["n"].cast("long")), F.hex(c["key"]), F.hex(c["check"]))
+    cell = lambda c: F.concat_ws(".", F.hex(c["cell"].cast("long")), F.hex(c["n"].cast("long")), F.hex(c["key"]))
     return F.concat(F.size(keys).cast("string"), F.lit(":"), F.array_join(F.transform(sketch(keys), cell), "|"))
 
 
