@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import predicates as P
 from .functions import text as X
-from .operators import comparison, cost, coverage, dataset_page, facts, history, overlays, presets, publish, sampling, scoreboard, universe, visibility
+from .operators import comparison, cost, coverage, dataset_page, facts, history, overlays, presets, publish, repairs, sampling, scoreboard, universe, visibility
 from .plans import kernel_tables, payloads
 from .plans.dataset import DECS, SQL, Dataset, from_tables
 
@@ -694,3 +694,50 @@ def _(d):
 @_data("asm_line_diff")
 def _(d):
     return kernel_tables.line_diffs(d)
+
+
+# --- repairs and registries ----------------------------------------------------------------------
+
+
+def _keyed_attempts(d: Dataset) -> DataFrame:
+    return d.attempts.join(d.functions, "fn_id")
+
+
+@_data("fix_flags", "SELECT dec, CAST(count(*) FILTER (WHERE decompiled OR (fn_id % 3 = 0 AND (dec <> 'agent_x' OR fn_id % 2 = 0))) AS BIGINT) AS n FROM v_obs GROUP BY dec")
+def _(d):
+    rows = _keyed_attempts(d)
+    out = repairs.fix_flags(rows.select(*KEY, "dec", "decompiled"), rows.where("fn_id % 3 = 0"), ["agent_x"], d.functions.where("fn_id % 2 = 0"))
+    return out.groupBy("dec").agg(F.count_if("decompiled").alias("n"))
+
+
+@_data("prune_off_slice", "SELECT dec, CASE WHEN dec <> 'agent_x' THEN 'kept' WHEN fn_id % 2 = 0 THEN 'retained' WHEN ged IS NOT NULL THEN 'anomaly' ELSE 'pruned' END AS fate, CAST(count(*) AS BIGINT) AS n FROM v_obs GROUP BY ALL")
+def _(d):
+    ged = d.obs.where("metric = 'ged'").select("fn_id", "dec", "value")
+    rows = _keyed_attempts(d).join(ged, ["fn_id", "dec"], "left").select(*KEY, "dec", "value")
+    return repairs.prune_off_slice(rows, ["agent_x"], d.functions.where("fn_id % 2 = 0")).groupBy("dec", "fate").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_data("overlay_comparison", "SELECT dec, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS old_mean, round(avg(CASE WHEN fn_id % 4 = 0 THEN 1.0 ELSE value END), 6) AS new_mean, CAST(count(*) FILTER (WHERE fn_id % 4 = 0 AND value < 1) AS BIGINT) AS improved, CAST(0 AS BIGINT) AS worse FROM obs WHERE metric = 'type_match' AND fn_id % 2 = 0 GROUP BY dec")
+def _(d):
+    old = d.obs.where("metric = 'type_match'").select("fn_id", "dec", "value")
+    new = old.where("fn_id % 2 = 0").withColumn("value", F.when(F.col("fn_id") % 4 == 0, 1.0).otherwise(F.col("value")))
+    return repairs.compare_scores(old, new).withColumns({"old_mean": F.round("old_mean", 6), "new_mean": F.round("new_mean", 6)})
+
+
+@_data("registry_lookup", "SELECT dec, CASE dec WHEN 'tool_a' THEN 'Tool A' WHEN 'tool_b@2.0' THEN 'Tool B' END AS display FROM decs")
+def _(d):
+    known = d.functions.sparkSession.createDataFrame([("tool_a", "Tool A"), ("tool_b", "Tool B"), ("other", "Other")], "id string, display string")
+    return repairs.with_registry(d.decs.select("dec"), known)
+
+
+@_data("compile_report", "SELECT project, CAST(count(*) FILTER (WHERE opt_level = 'O0') AS BIGINT) AS \"O0\", CAST(count(*) FILTER (WHERE opt_level = 'O2' AND project <> 'proj_03') AS BIGINT) AS \"O2\", CAST(count(*) FILTER (WHERE opt_level = 'O2-noinline') AS BIGINT) AS \"O2-noinline\", CASE WHEN project = 'proj_03' THEN 'partial' ELSE 'ok' END AS state FROM (SELECT DISTINCT project, opt_level, binary_name FROM v_fn) GROUP BY project")
+def _(d):
+    built = d.functions.where("project <> 'proj_03' or opt_level <> 'O2'").groupBy("project", "opt_level").agg(F.countDistinct("binary_name").alias("n"))
+    return repairs.compile_report(built)
+
+
+@_tables("lines_of_code", "SELECT source AS project, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS loc FROM documents WHERE n_chars % 7 <> 0 GROUP BY source")
+def _(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    lines = docs.select(F.col("source").alias("project"), F.when(F.col("n_chars") % 7 == 0, "conftest.c").otherwise("a.c").alias("file"), F.explode(F.split("text", "\n")))
+    return repairs.lines_of_code(lines)
