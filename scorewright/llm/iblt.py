@@ -64,7 +64,8 @@ def elements(text: Column) -> Column:
 def _updates(keys: Column, cells: Column, sign: int) -> Column:
     """One row per element and table, to be summed by cell."""
     third = F.floor(cells / 3)
-    at = lambda k, j: (F.pmod(F.xxhash64(k, F.lit(j)), third) + third * j).cast("int")
+    spread = lambda k, j: F.shiftrightunsigned(k, CHECK + 14 * j)  # noqa: E731  digests are hashes: their own bits will do
+    at = lambda k, j: (F.pmod(spread(k, j), third) + third * j).cast("int")
     three = lambda k: F.array(*[F.struct(at(k, j).alias("cell"), F.lit(sign).alias("n"), k.alias("key")) for j in range(3)])
     return F.flatten(F.transform(keys, three))
 
