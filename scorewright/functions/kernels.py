@@ -202,12 +202,16 @@ def type_match_udf():
 
 
 def elect_shift(slots: DataFrame, reach: int = 32) -> DataFrame:
-    """(group, shift) by votes, without Python: slots holds group, fn_id, truth and found (distinct offsets as arrays).
+    """(group, shift) by votes, without Python: slots holds group, fn_id, truth and found (offsets as arrays).
 
-    Every function and candidate is a row; votes are summed by candidate before the shuffle.
+    A function's candidates are the differences of its offsets, and a candidate's coincidences how
+    often it is one; 0 is always a candidate. Votes are summed by candidate before the shuffle.
     """
-    rows = slots.where((F.size("truth") > 0) & (F.size("found") > 0)).withColumn("k", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-    hit = F.size(F.array_intersect(F.transform(F.array_distinct("found"), lambda d: d + F.col("k")), F.array_distinct("truth")))
+    rows = slots.where((F.size("truth") > 0) & (F.size("found") > 0))
+    gaps = F.flatten(F.transform(F.array_distinct("truth"), lambda t: F.transform(F.array_distinct("found"), lambda d: t - d)))
+    rows = rows.select("group", F.filter(gaps, lambda k: F.abs(k) <= reach).alias("gaps"))
+    rows = rows.select("group", "gaps", F.explode(F.array_union("gaps", F.array(F.lit(0)))).alias("k"))
+    hit = F.size(F.filter("gaps", lambda x: x == F.col("k")))
     votes = rows.groupBy("group", "k").agg(F.sum(F.greatest(F.lit(0), hit - 1)).alias("many"), F.sum(hit).alias("all"))
     rank = F.struct(-F.abs("k"), -F.col("k"))
     best = votes.groupBy("group").agg(F.max_by(F.struct("k", "many"), F.struct("many", rank)).alias("m"), F.max_by(F.struct("k", "all"), F.struct("all", rank)).alias("a"), F.max(F.when(F.col("k") == 0, F.col("all"))).alias("zero"))
