@@ -53,7 +53,7 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column], block: Column, name: str, tie: int = 1) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[Column], block: Column, name: str) -> DataFrame:
     """``name``: the gapless place from 0 in ``group`` by (``block``, ``order``).
 
     No task holds a whole group: rows are numbered inside a block, and the blocks' counts are
@@ -65,7 +65,7 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], block: Column,
     before = Window.partitionBy(*group).orderBy(F.col("_block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy(*cols).orderBy(*order)
-    left = rows.withColumn("_in", F.row_number().over(inside) - tie).alias("l")
+    left = rows.withColumn("_in", F.row_number().over(inside) - 1).alias("l")
     on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in cols]
     keep = [F.col(f"l.{c}") for c in df.columns]
     return left.join(starts.alias("r"), on, "left").select(*keep, (F.col("_start") + F.col("_in")).cast("long").alias(name))
