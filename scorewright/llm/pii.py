@@ -2,15 +2,16 @@
 
 Base spans are the leftmost non-overlapping matches of four patterns, checked after matching (ranges
 of address parts, digit counts, Luhn). Each base value is a protected entity. A term (a word of four
-or more letters within ``CONTEXT`` characters of a mention) reveals an entity e as far as knowing
+or more letters, anywhere in a document that mentions the entity) reveals an entity e as far as knowing
 the term t tells it: with document frequencies, PMI(t, e) = log2(P(e|t) / P(e)) against the
 entity's information -log2 P(e). Terms that occur in ``SUPPORT`` or more documents with the entity
 and give at least ``GENERALISE`` of its information are generalised to their shape; at ``REMOVE``
-or more they are removed. Only mentions' surroundings are touched, so a document without personal
-data stays as it is.
+or more they are removed. Only documents that mention the entity are touched, so a document without
+personal data stays as it is.
 
-Frequencies count all documents: contexts and words are summed by key before the shuffle, and texts
-are never shuffled for counting.
+Frequencies count all documents: words are summed by key before the shuffle, and texts are never
+shuffled for counting. Equal texts are counted once, with their multiplicity. An entity is paired
+only with words rare enough to reach ``GENERALISE`` if all its documents had them, which loses none.
 
 Null and empty texts have no spans. Repeated rows are each reported; every row counts as a
 document. Documents are told apart by id and text, null ids included. Extra columns are ignored, or
@@ -38,14 +39,13 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
 WORD = r"(?<![\p{L}\p{N}])\p{L}{4,}+(?!\p{N})"
-CONTEXT = 48
 SUPPORT = 3
 GENERALISE = 0.9
 REMOVE = 1.0
 CHUNK = 256
 
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
-CTX = "array<struct<entity:string,term:string,start:int,end:int>>"
+WORDS = "array<struct<term:string,start:int,end:int>>"
 TERMS = "array<struct<start:int,end:int,share:double>>"
 
 
@@ -135,60 +135,68 @@ def _canonical(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.when(kind.isin("card", "phone"), _digits(value)).otherwise(F.lower(value)))
 
 
-def _contexts(text: Column, base: Column) -> Column:
-    """array<struct<entity, term, start, end>>: the whole words around each mention that lie in no base span."""
+def _blanked(text: Column, base: Column) -> Column:
+    """``text`` with the letters and digits of its base spans as zeros: places stay, and no word reaches into a span."""
+    cuts = F.array_sort(F.transform(base, lambda s: F.struct(s["start"], s["end"])))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def around(s: Column) -> Column:
-        lo = F.greatest(s["start"] - CONTEXT, F.lit(0))
+    def add(a: Column, c: Column) -> Column:
+        first = F.greatest(a["at"], c["start"])
+        blank = F.regexp_replace(F.substring(text, first + 1, c["end"] - first), r"[\p{L}\p{N}]", "0")
+        piece = F.substring(text, a["at"] + 1, first - a["at"])
+        return F.struct(F.greatest(a["at"], c["end"]).alias("at"), F.concat(a["out"], F.array(piece, blank)).alias("out"))
 
-        def found(part: Column) -> Column:
-            whole = lambda m: ((lo == 0) | (m["start"] > 0)) & ((lo + F.length(part) >= F.length(text)) | (m["end"] < F.length(part)))
-            free = lambda m: ~F.exists(base, lambda o: (lo + m["start"] < o["end"]) & (lo + m["end"] > o["start"]))
-            words = F.filter(matches(part, WORD), lambda m: whole(m) & free(m))
-            who = _canonical(s["kind"], s["value"])
-            return F.transform(words, lambda m: F.struct(who.alias("entity"), F.lower(m["value"]).alias("term"), (lo + m["start"]).alias("start"), (lo + m["end"]).alias("end")))
+    return F.aggregate(cuts, zero, add, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
 
-        return let(F.substring(text, lo + 1, s["end"] + CONTEXT - lo), found)
 
-    return F.flatten(F.transform(base, around))
+def _words(text: Column) -> Column:
+    """array<struct<term, start, end>>: all words of ``text``."""
+    return F.transform(matches(text, WORD), lambda m: F.struct(F.lower(m["value"]).alias("term"), m["start"], m["end"]))
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, base, ctx) of each row: th is a hash of the text, base the base spans, ctx the words around them."""
+    """(doc_id, th, base, words) of each row: th is a hash of the text, base the base spans, words those outside of them if there are any."""
     rows = docs.select("doc_id", text_of(docs).alias("t")).withColumn("base", base_spans(F.col("t")))
-    ctx = F.when(F.size("base") > 0, _contexts(F.col("t"), F.col("base"))).otherwise(F.array().cast(CTX))
-    return rows.select("doc_id", F.xxhash64("t").alias("th"), "base", ctx.alias("ctx"))
+    words = F.when(F.size("base") > 0, let(_blanked(F.col("t"), F.col("base")), _words)).otherwise(F.array().cast(WORDS))
+    return rows.select("doc_id", F.xxhash64("t").alias("th"), "base", words.alias("words"))
+
+
+def _texts(found: DataFrame) -> DataFrame:
+    """(th, n, entities, words): the distinct texts with base spans, n the rows that have them."""
+    who = F.array_distinct(F.transform("base", lambda s: _canonical(s["kind"], s["value"])))
+    some = found.where(F.size("base") > 0).select("th", who.alias("entities"), "words")
+    return some.groupBy("th").agg(F.count(F.lit(1)).alias("n"), F.any_value("entities").alias("entities"), F.any_value("words").alias("words"))
 
 
-def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
+def disclosures(docs: DataFrame, texts: DataFrame, total: int) -> DataFrame:
     """(entity, term, share): terms that give at least ``GENERALISE`` of the entity's information; share: how much."""
-    total = found.count()
-    pairs = found.select(F.explode(F.array_distinct(F.transform("ctx", lambda c: F.struct(c["entity"], c["term"])))).alias("x")).select("x.entity", "x.term")
-    both = materialise(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= SUPPORT), "pii-joint")
+    mentioned = texts.select("th", "n", F.explode("entities").alias("entity"))
+    entity_docs = mentioned.groupBy("entity").agg(F.sum("n").alias("ef")).where(F.col("ef") < total)
     words = F.array_distinct(F.transform(F.regexp_extract_all(text_of(docs), F.lit(WORD), F.lit(0)), F.lower))
     term_docs = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
-    mentioned = found.select(F.explode(F.array_distinct(F.transform("base", lambda s: _canonical(s["kind"], s["value"])))).alias("entity"))
-    entity_docs = mentioned.groupBy("entity").agg(F.count(F.lit(1)).alias("ef"))
-    out = both.join(term_docs, "term").join(entity_docs, "entity").where(F.col("ef") < total)
+    terms = texts.select("th", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term")).join(term_docs, "term")
     information = -F.log2(F.col("ef") / F.lit(float(max(1, total))))
-    share = (F.log2(F.col("joint") / F.col("tf")) + information) / information
-    return materialise(out.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE), "pii-disclosed")
+    share = lambda joint: (F.log2(joint / F.col("tf")) + information) / information
+    possible = share(F.col("ef")) >= GENERALISE - 1e-9  # joint is ef at most
+    pairs = mentioned.join(entity_docs, "entity").join(terms, "th").where(possible)
+    both = pairs.groupBy("entity", "term", "ef", "tf").agg(F.sum("n").alias("joint")).where(F.col("joint") >= SUPPORT)
+    return materialise(both.select("entity", "term", share(F.col("joint")).alias("share")).where(F.col("share") >= GENERALISE), "pii-disclosed")
 
 
 def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(x_id, x_th, terms): the spans that the method adds, sorted, for each document that has any."""
-    around = found.select("doc_id", "th", F.explode("ctx").alias("c")).select("doc_id", "th", "c.*")
-    told = around.join(disclosures(docs, found), ["entity", "term"])
-    one = told.groupBy("doc_id", "th", "start", "end").agg(F.max("share").alias("share"))
-    span = F.struct("start", "end", "share")
-    out = one.groupBy(F.col("doc_id").alias("x_id"), F.col("th").alias("x_th")).agg(F.array_sort(F.collect_list(span)).alias("terms"))
+    """(x_th, terms): the spans that the method adds, sorted, for each text that has any."""
+    texts = materialise(_texts(found), "pii-texts")
+    told = texts.select("th", F.explode("entities").alias("entity")).join(disclosures(docs, texts, found.count()), "entity")
+    told = told.groupBy("th", "term").agg(F.max("share").alias("share"))
+    one = texts.select("th", F.explode("words").alias("w")).select("th", "w.*").join(told, ["th", "term"])
+    out = one.groupBy(F.col("th").alias("x_th")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
     return materialise(out, "pii-terms")
 
 
 def _with_terms(docs: DataFrame) -> DataFrame:
     found = materialise(detect(docs), "pii-found")
     extra = term_spans(docs, found)
-    out = found.join(extra, found["doc_id"].eqNullSafe(F.col("x_id")) & (found["th"] == F.col("x_th")), "left")
+    out = found.join(extra, found["th"] == F.col("x_th"), "left")
     return out.select("doc_id", "th", "base", F.coalesce("terms", F.array().cast(TERMS)).alias("terms"))
 
 

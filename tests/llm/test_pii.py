@@ -117,3 +117,23 @@ def test_overlapping_spans(spark):
 
 def test_empty(spark):
     assert op.spans(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_terms_far_from_mentions(spark):
+    filler = "plain filler text " * 40
+    rows = [(i, f"Quetzal {filler} mail joe@mail.example {filler} Axolotl {i}") for i in range(5)] + [(i, filler) for i in range(10, 60)]
+    out = {r.doc_id: r.spans for r in op.spans(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)).collect()}
+    for i, t in rows[:5]:
+        want = [f"term:{t.index(w)}:{t.index(w) + 7}" for w in ("Quetzal", "Axolotl")]
+        assert set(want) <= set(out[i].split(",")), i
+    assert all(out[i] == "" for i, _ in rows[5:])
+
+
+def test_words_outside_base_spans(spark):
+    texts = ["éééé.word@mail.example-éabcd éeeabcd@mail.example", "abcd+49 89 1234567efgh (word) z@9.8.7.6ijkl mnop", "😀word a@b.c 4111 1111 1111 1111 1.2.3.4 ünïcode"]
+    rows = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], SCHEMA)
+    for r in op.detect(rows).collect():
+        t = texts[r.doc_id]
+        found = base(t)
+        free = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"(?<![^\W_])[^\W\d_]{4,}(?!\d)", t) if not any(m.start() < e and m.end() > s for _, s, e, _ in found)]
+        assert [tuple(w) for w in r.words] == free, t
