@@ -25,7 +25,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is masked, terms that disclose it are generalised or removed; every document stays."""
-    return pii.sanitise(docs)
+    return pii.sanitise(docs, everywhere=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ or more letters, anywhere in a document that mentions the entity) reveals an ent
 the term t tells it: with document frequencies, PMI(t, e) = log2(P(e|t) / P(e)) against the
 entity's information -log2 P(e). Terms that occur in ``SUPPORT`` or more documents with the entity
 and give at least ``GENERALISE`` of its information are generalised to their shape; at ``REMOVE``
-or more they are removed. Only documents that mention the entity are touched, so a document without
-personal data stays as it is.
+or more they are removed. With ``everywhere``, as the query and the pipeline use it, that holds for all
+occurrences of these terms in all documents. Without it only documents that mention the entity are
+touched, so a document without personal data stays as it is.
 
 Frequencies count all documents: words are summed by key before the shuffle, and texts are never
 shuffled for counting. Equal texts are counted once, with their multiplicity. An entity is paired
@@ -183,19 +184,39 @@ def disclosures(docs: DataFrame, texts: DataFrame, total: int) -> DataFrame:
     return materialise(both.select("entity", "term", share(F.col("joint")).alias("share")).where(F.col("share") >= GENERALISE), "pii-disclosed")
 
 
-def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(x_th, terms): the spans that the method adds, sorted, for each text that has any."""
+def _elsewhere(docs: DataFrame, texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(th, term, start, end): occurrences of ``terms`` in the texts without base spans."""
+    rows = docs.select(text_of(docs).alias("t")).withColumn("th", F.xxhash64("t"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.col("t"), F.lit(WORD), F.lit(0)), F.lower))
+    hits = rows.select("th", F.explode(words).alias("term")).join(terms, "term", "left_semi").select("th").distinct()
+    hits = materialise(hits.join(texts.select("th"), "th", "left_anti"), "pii-hits")
+    held = rows.join(hits, "th").dropDuplicates(["th"]).select("th", _words(F.col("t")).alias("words"))
+    return held.select("th", F.explode("words").alias("w")).select("th", "w.*").join(terms, "term", "left_semi").select("th", "term", "start", "end")
+
+
+def term_spans(docs: DataFrame, found: DataFrame, everywhere: bool = False) -> DataFrame:
+    """(x_th, terms): the spans that the method adds, sorted, for each text that has any.
+
+    everywhere: in all texts, not only in those that mention the entity.
+    """
     texts = materialise(_texts(found), "pii-texts")
-    told = texts.select("th", F.explode("entities").alias("entity")).join(disclosures(docs, texts, found.count()), "entity")
-    told = told.groupBy("th", "term").agg(F.max("share").alias("share"))
-    one = texts.select("th", F.explode("words").alias("w")).select("th", "w.*").join(told, ["th", "term"])
+    told = disclosures(docs, texts, found.count())
+    words = texts.select("th", F.explode("words").alias("w")).select("th", "w.*")
+    if everywhere:
+        terms = told.groupBy("term").agg(F.max("share").alias("share"))
+        # a term of share 1 is in no document without the entity
+        loose = terms.where(F.col("share") < 1).select("term")
+        one = words.select("th", "term", "start", "end").unionByName(_elsewhere(docs, texts, loose)).join(terms, "term")
+    else:
+        mentioned = texts.select("th", F.explode("entities").alias("entity")).join(told, "entity")
+        one = words.join(mentioned.groupBy("th", "term").agg(F.max("share").alias("share")), ["th", "term"])
     out = one.groupBy(F.col("th").alias("x_th")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
     return materialise(out, "pii-terms")
 
 
-def _with_terms(docs: DataFrame) -> DataFrame:
+def _with_terms(docs: DataFrame, everywhere: bool) -> DataFrame:
     found = materialise(detect(docs), "pii-found")
-    extra = term_spans(docs, found)
+    extra = term_spans(docs, found, everywhere)
     out = found.join(extra, found["th"] == F.col("x_th"), "left")
     return out.select("doc_id", "th", "base", F.coalesce("terms", F.array().cast(TERMS)).alias("terms"))
 
@@ -204,14 +225,14 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
 
-def spans(docs: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, everywhere: bool = False) -> DataFrame:
     """One row per document: doc_id, counts by kind, base_sha256, spans, n_term."""
     said = lambda kind, s: F.concat_ws(":", kind, s["start"].cast("string"), s["end"].cast("string"))
     base = F.transform("base", lambda s: said(s["kind"], s))
     terms = F.transform("terms", lambda s: said(F.lit(TERM), s))
     counts = [_count(k).alias(f"n_{k}") for k in KINDS]
     digest = F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256")
-    return _with_terms(docs).select("doc_id", *counts, digest, F.array_join(F.concat(base, terms), ",").alias("spans"), F.size("terms").cast("long").alias("n_term"))
+    return _with_terms(docs, everywhere).select("doc_id", *counts, digest, F.array_join(F.concat(base, terms), ",").alias("spans"), F.size("terms").cast("long").alias("n_term"))
 
 
 def _shape(word: Column) -> Column:
@@ -231,9 +252,9 @@ def _rewrite(text: Column, cuts: Column) -> Column:
     return F.aggregate(cuts, zero, add, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
+def sanitise(docs: DataFrame, everywhere: bool = False) -> DataFrame:
     """``docs`` with all spans of their texts masked, generalised or removed; ``n_chars``, if there, is counted anew."""
-    found = _with_terms(docs).where(F.size("base") > 0).dropDuplicates(["doc_id", "th"])
+    found = _with_terms(docs, everywhere).where((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(["doc_id", "th"])
     masks = F.create_map(*[F.lit(x) for pair in MASKS.items() for x in pair])
     base = F.transform("base", lambda s: F.struct(s["start"], s["end"], F.element_at(masks, s["kind"]).alias("to")))
     terms = F.transform("terms", lambda s: F.struct(s["start"], s["end"], F.when(s["share"] >= REMOVE, F.lit("")).alias("to")))
@@ -249,4 +270,4 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir):
-    return spans(table(spark, sf_dir, "documents"))
+    return spans(table(spark, sf_dir, "documents"), everywhere=True)

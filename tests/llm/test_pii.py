@@ -137,3 +137,16 @@ def test_words_outside_base_spans(spark):
         found = base(t)
         free = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"(?<![^\W_])[^\W\d_]{4,}(?!\d)", t) if not any(m.start() < e and m.end() > s for _, s, e, _ in found)]
         assert [tuple(w) for w in r.words] == free, t
+
+
+def test_disclosed_terms_in_all_documents(spark):
+    rows = [(i, f"Quetzal writes Quetzal from joe@mail.example {'plain filler ' * 40} Quetzal") for i in range(12)]
+    rows += [(50, "the Quetzal flies, a quetzal"), (51, "Quetzals fly"), (None, None), (52, "the Quetzal flies, a quetzal")] + [(i, "plain filler words") for i in range(100, 400)]
+    df = spark.createDataFrame([(*r, "x", len(r[1] or "")) for r in rows], SCHEMA)
+    out = {r.doc_id: r for r in op.spans(df, everywhere=True).collect()}
+    assert [out[i].spans for i in (50, 52)] == ["term:4:11,term:21:28"] * 2
+    assert {f"term:{m.start()}:{m.end()}" for m in re.finditer("Quetzal", rows[0][1])} <= set(out[0].spans.split(","))
+    assert all(out[i].spans == "" for i in (51, None, 100))
+    clean = {r.doc_id: r.text for r in op.sanitise(df, everywhere=True).collect()}
+    assert clean[50] == clean[52] == "the Xxxxxxx flies, a xxxxxxx" and clean[51] == "Quetzals fly" and clean[None] is None
+    assert all("Quetzal" not in clean[i] and "<EMAIL>" in clean[i] for i in range(12))
