@@ -4,9 +4,10 @@ Base spans are the leftmost non-overlapping matches of four patterns, checked af
 of address parts, digit counts, Luhn). Each base value is a protected entity. A term (a word of four
 or more letters, anywhere in a document that mentions the entity) reveals an entity e as far as knowing
 the term t tells it: with document frequencies, PMI(t, e) = log2(P(e|t) / P(e)) against the
-entity's information -log2 P(e). Terms that occur in ``SUPPORT`` or more documents with the entity
-and give at least ``GENERALISE`` of its information are generalised to their shape; at ``REMOVE``
-or more they are removed. With ``everywhere``, as the query and the pipeline use it, that holds for all
+entity's information -log2 P(e). So that few documents don't pass for certainty, no floor but an
+estimate decides: P(e|t) smoothed with ``PSEUDO`` documents at the rate P(e). Terms whose smoothed
+PMI gives at least ``GENERALISE`` of the entity's information are generalised to their shape; if
+their plain PMI gives ``REMOVE`` or more of it, they are removed. With ``everywhere``, as the query and the pipeline use it, that holds for all
 occurrences of these terms in all documents. Without it only documents that mention the entity are
 touched, so a document without personal data stays as it is.
 
@@ -40,7 +41,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
 WORD = r"(?<![\p{L}\p{N}])\p{L}{4,}+(?!\p{N})"
-SUPPORT = 3
+#: Documents with the term, at the entity's own rate, added before P(e|t) is estimated.
+PSEUDO = 1.0
 GENERALISE = 0.9
 REMOVE = 1.0
 CHUNK = 256
@@ -170,18 +172,20 @@ def _texts(found: DataFrame) -> DataFrame:
 
 
 def disclosures(docs: DataFrame, texts: DataFrame, total: int) -> DataFrame:
-    """(entity, term, share): terms that give at least ``GENERALISE`` of the entity's information; share: how much."""
+    """(entity, term, share): terms that give at least ``GENERALISE`` of the entity's information by the smoothed estimate; share: how much by the plain one."""
     mentioned = texts.select("th", "n", F.explode("entities").alias("entity"))
     entity_docs = mentioned.groupBy("entity").agg(F.sum("n").alias("ef")).where(F.col("ef") < total)
     words = F.array_distinct(F.transform(F.regexp_extract_all(text_of(docs), F.lit(WORD), F.lit(0)), F.lower))
     term_docs = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
     terms = texts.select("th", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term")).join(term_docs, "term")
-    information = -F.log2(F.col("ef") / F.lit(float(max(1, total))))
-    share = lambda joint: (F.log2(joint / F.col("tf")) + information) / information
-    possible = share(F.col("ef")) >= GENERALISE - 1e-9  # joint is ef at most
+    rate = F.col("ef") / F.lit(float(max(1, total)))
+    share = lambda given: F.log2(given / rate) / -F.log2(rate)
+    smoothed = lambda joint: share((joint + PSEUDO * rate) / (F.col("tf") + PSEUDO))
+    possible = smoothed(F.col("ef")) >= GENERALISE - 1e-9  # joint is ef at most
     pairs = mentioned.join(entity_docs, "entity").join(terms, "th").where(possible)
-    both = pairs.groupBy("entity", "term", "ef", "tf").agg(F.sum("n").alias("joint")).where(F.col("joint") >= SUPPORT)
-    return materialise(both.select("entity", "term", share(F.col("joint")).alias("share")).where(F.col("share") >= GENERALISE), "pii-disclosed")
+    both = pairs.groupBy("entity", "term", "ef", "tf").agg(F.sum("n").alias("joint")).where(smoothed(F.col("joint")) >= GENERALISE)
+    plain = F.when(F.col("joint") == F.col("tf"), F.lit(1.0)).otherwise(share(F.col("joint") / F.col("tf")))
+    return materialise(both.select("entity", "term", plain.alias("share")), "pii-disclosed")
 
 
 def _elsewhere(docs: DataFrame, texts: DataFrame, terms: DataFrame) -> DataFrame:

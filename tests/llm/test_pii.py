@@ -150,3 +150,16 @@ def test_disclosed_terms_in_all_documents(spark):
     clean = {r.doc_id: r.text for r in op.sanitise(df, everywhere=True).collect()}
     assert clean[50] == clean[52] == "the Xxxxxxx flies, a xxxxxxx" and clean[51] == "Quetzals fly" and clean[None] is None
     assert all("Quetzal" not in clean[i] and "<EMAIL>" in clean[i] for i in range(12))
+
+
+def test_terms_of_rare_entities(spark):
+    rows = [(0, "Axolotl keeper joe@mail.example plain words"), (1, "Quetzal ann@mail.example plain words"), (2, "Quetzal ann@mail.example"), (3, "Quetzal plain"), (4, "a Quetzal")]
+    rows += [(i, "keeper of plain words") for i in range(10, 3000)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    out = {r.doc_id: r.spans for r in op.spans(df).collect()}
+    n = len(rows)
+    for joint, tf, ef, word in [(1, 1, 1, "Axolotl"), (2, 4, 2, "Quetzal")]:
+        share = math.log2((joint + ef / n) / (tf + 1) / (ef / n)) / -math.log2(ef / n)
+        assert (share >= 0.9) == (word == "Axolotl")
+    assert out[0] == "email:15:31,term:0:7"
+    assert [out[i] for i in (1, 2, 3, 4, 10)] == ["email:8:24", "email:8:24", "", "", ""]
