@@ -4,39 +4,58 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch handed to Python: whole documents can be long, so batches stay small.
-ARROW_ROWS = 512
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where the setting is unset, as in tests."""
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares; it is deleted when the application ends.
+
+    Where ``spark.checkpoint.dir`` is unset a local run, as in tests, gets a folder of its own; a cluster must name one.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="scorewright-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    return shared.rstrip("/")
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialise`` that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _file_system(df.sparkSession, path).delete(df.sparkSession._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by rows, so that batches of long texts fit beside the heap."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """``key`` set to ``value`` for what is executed inside."""
+    old = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -79,7 +98,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     but a count and a checksum.
     """
     spark = edges.sparkSession
-    e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    e = kept = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     mark = _mark(e)
     while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -88,8 +107,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), "m"), F.struct("u", "m"))).alias("x"))
         e = e.select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
-        e, old = materialise(e, name), mark
+        before, old = kept, mark
+        e = kept = materialise(e, name)
         mark = _mark(e)
+        discard(before)
         if mark == old:
             break
     if not mark[0]:

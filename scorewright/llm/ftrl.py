@@ -8,7 +8,6 @@ bounds. L1 leaves few weights other than zero; those are what a scoring task get
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -17,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, small_batches
+from .common import scratch_path
 
 DIMS = 1 << 18
 #: Groups at most, and rows that a group has at least, where there are several.
@@ -83,7 +82,6 @@ def _one_pass(state):
 def train(rows: DataFrame, features: Features) -> tuple[np.ndarray, np.ndarray]:
     """(feature numbers, weights) other than zero; the bias is feature ``BIAS``. Empty if there are no rows."""
     spark = rows.sparkSession
-    small_batches(spark)
 
     @F.pandas_udf("array<int>")
     def hashed(text: pd.Series) -> pd.Series:
@@ -92,7 +90,7 @@ def train(rows: DataFrame, features: Features) -> tuple[np.ndarray, np.ndarray]:
     shards = max(1, min(SHARDS, rows.count() // SHARD_ROWS))
     shard = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(shards)).cast("int").alias("shard")
     # a folder for each group: a round reads a group in one task, in the same order, without a shuffle
-    path = f"{scratch_dir(spark)}/ftrl-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "ftrl")
     rows.select("y", hashed("text").alias("x"), shard).write.partitionBy("shard").parquet(path)
     schema = "y int, x array<int>"
     found = sorted(r[0] for r in spark.read.schema(schema + ", shard int").parquet(path).select("shard").distinct().collect())  # at most SHARDS
@@ -116,7 +114,6 @@ def train(rows: DataFrame, features: Features) -> tuple[np.ndarray, np.ndarray]:
 
 def scorer(spark, model: tuple[np.ndarray, np.ndarray], features: Features):
     """Column function: probability of label 1; 0 for every text where nothing was learnt."""
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

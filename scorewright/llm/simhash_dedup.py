@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialise, small_batches
+from .common import components, materialise
 
 DISTANCE = 4
 SHINGLE = 4
@@ -52,8 +52,6 @@ def simhash(text: str | None, width: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): one row per document, fp the fingerprint as a signed long."""
-    small_batches(docs.sparkSession)
-
     @F.pandas_udf("long")
     def fp(text: pd.Series) -> pd.Series:
         return pd.Series(np.array([simhash(t, width) for t in text], np.uint64).view(np.int64))
