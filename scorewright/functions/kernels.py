@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable
 
 import pandas as pd
@@ -55,8 +55,9 @@ QUALIFIERS = ("unsigned", "signed", "const", "volatile", "register", "static", "
 SAME = (("long long int", "long long"), ("long int", "long long"), ("short int", "short"), ("_Bool", "bool"), ("Bool", "bool"), ("boolean", "bool"))
 #: Scalars of a width, and spellings that only say a width.
 SCALARS = {1: {"char", "bool"}, 2: {"short"}, 4: {"int"}, 8: {"long long"}}
-WIDTH_ONLY = re.compile(r"\s*(?:undefined\d*|__u?int(?:8|16|32|64)|_(?:BYTE|WORD|DWORD|QWORD)|u?int[1-8]|byte|word|dword|qword|uchar)\s*")
 WORD_WIDTHS = {"undefined": 1, "byte": 1, "uchar": 1, "_BYTE": 1, "word": 2, "_WORD": 2, "dword": 4, "_DWORD": 4, "qword": 8, "_QWORD": 8}
+#: Families of such spellings with a number, how many of its units a byte has, and the numbers that occur.
+NUMBERED = {"undefined": (1, range(100)), "__int": (8, (8, 16, 32, 64)), "__uint": (8, (8, 16, 32, 64)), "int": (1, range(1, 9)), "uint": (1, range(1, 9))}
 #: Nodes from which graph distances are bounded by sizes instead of computed.
 GED_NODES = 60
 
@@ -65,35 +66,36 @@ TRUTH = "struct<name:string,type:array<string>,offsets:array<int>,is_arg:boolean
 TYPE_SCORE = "value double, tp int, fp int, fn int, shift int, by_arg int, by_offset int, by_name int"
 
 
+def _restated(form: str) -> set[str]:
+    """What one rule makes of a spelling: a plain name for it, no qualifiers, a shorter spelling, single spaces, stars at the name."""
+    words = [w for w in form.split() if w not in QUALIFIERS]
+    shorter = {form.replace(long, short) for long, short in SAME}
+    return {TYPE_NAMES.get(form, form), " ".join(words), "*".join(p.rstrip() for p in form.split("*"))} | shorter
+
+
 def type_forms(spelling: str | None) -> set[str]:
-    """Equivalent spellings of a C type; two types match if they share one."""
-    text = (spelling or "").strip()
-    if not text:
-        return set()
-    text = TYPE_NAMES.get(text, text)
-    bare = text
-    for q in QUALIFIERS:
-        bare = bare.replace(q + " ", "")
-    out = {text, bare.strip()} - {""}
-    for long, short in SAME:
-        out |= {f.replace(long, short) for f in out if long in f}
-    out = {" ".join(f.split()) for f in out if f.strip()}
-    out |= {re.sub(r"\s*\*", "*", f) for f in out}
-    return out | {TYPE_NAMES[f] for f in out if f in TYPE_NAMES}
+    """Equivalent spellings of a C type, closed under the rules; two types match if they share one."""
+    out: set[str] = set()
+    fresh = {" ".join((spelling or "").split())}
+    while fresh := fresh - out - {""}:
+        out |= fresh
+        fresh = set().union(*map(_restated, fresh))
+    return out
 
 
 def bare_width(spelling: str | None, size: int | None) -> int | None:
     """Bytes of a type that only says its width; pointers are committed types."""
     text = (spelling or "").strip()
-    if "*" in text or not WIDTH_ONLY.fullmatch(text):
-        return None
-    if size in SCALARS:
-        return size
+    family = text.rstrip("0123456789")
+    units, numbers = NUMBERED.get(family, (1, ()))
+    number = text[len(family) :]
     if text in WORD_WIDTHS:
-        return WORD_WIDTHS[text]
-    n = int(re.search(r"\d+$", text)[0])
-    n = n // 8 if text.startswith("__") else n
-    return n if n in SCALARS else None
+        width = WORD_WIDTHS[text]
+    elif number and int(number) in numbers:
+        width = int(number) // units
+    else:
+        return None
+    return next((w for w in (size, width) if w in SCALARS), None)
 
 
 def slot(name: str | None, offset: int | None) -> int | None:
@@ -114,14 +116,13 @@ def _best(candidates: Iterable[int], votes) -> tuple[int | None, int]:
 
 def function_shift(truth: list[int], found: list[int]) -> int | None:
     """The shift under which most distinct slots of one function coincide; a lone coincidence doesn't count as one."""
-    if not truth or not found:
+    counts = Counter(g - d for g in set(truth) for d in set(found))  # a shift's coincidences are the differences equal to it
+    if not counts:
         return None
-    goal = set(truth)
-    hits = lambda k: len({d + k for d in found} & goal)
-    k, most = _best(sorted({g - d for g in truth for d in found} | {0}, key=lambda k: (abs(k), k)), hits)
-    if k and len(found) > 1 and most < 2:
-        return 0 if hits(0) else None
-    return k
+    shift = min(counts, key=lambda k: (-counts[k], abs(k), k))
+    if shift == 0 or counts[shift] > 1 or len(found) == 1:
+        return shift
+    return 0 if counts[0] else None
 
 
 def binary_shift(pairs: list[tuple[list[int], list[int]]], reach: int = 32) -> int | None:

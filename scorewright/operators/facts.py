@@ -79,7 +79,7 @@ def combo_counts(facts: DataFrame, presets: bool = True) -> DataFrame:
         F.transform(good, lambda o: _event("perfect", o["dec"], o["metric"])),
         F.when(F.size("measurable") > 0, F.array(_event("any"))).otherwise(F.array().cast("array<struct<kind:string,dec:string,metric:string>>")),
         F.transform(F.array_distinct(F.transform(good, lambda o: o["dec"])), lambda d: _event("union", d)),
-        F.transform("attempts", lambda a: _event("scope", a["dec"])),
+        F.transform(F.filter("attempts", lambda a: a["decompiled"].isNotNull()), lambda a: _event("scope", a["dec"])),
         F.transform(F.filter("attempts", lambda a: ~a["decompiled"]), lambda a: _event("errored", a["dec"])),
         F.transform(scored, lambda o: _event("compile", o["dec"])),
         F.transform(F.filter(scored, lambda o: built(o["dec"])), lambda o: _event("compiled", o["dec"])),

@@ -15,9 +15,22 @@ def strip(data, names: list[str]):
 
 
 def hide(data, names: list[str]):
-    """The data set without tools whose id or base name is hidden. Compile flags of hidden tools stay in the records."""
-    out = lambda df: df.where(~hidden(F.col("dec"), names))
-    return data.having(obs=out(data.obs), decs=out(data.decs))
+    """The data set without tools whose id or base name is hidden: no scores and no decompiled flags; compile flags stay in the records."""
+    shown = ~hidden(F.col("dec"), names)
+    attempts = data.attempts.withColumn("decompiled", F.when(shown, F.col("decompiled"))).where(shown | F.col("compiles").isNotNull())
+    return data.having(obs=data.obs.where(shown), attempts=attempts, decs=data.decs.where(shown))
+
+
+def hide_rows(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows by tool (scoreboard, hardest cases, history) without hidden tools."""
+    return rows.where(~hidden(F.col("dec"), names))
+
+
+def hide_samples(samples: DataFrame, names: list[str]) -> DataFrame:
+    """``samples`` without hidden tools' code (a map ``code`` by tool, and other maps by tool); those left without any code go."""
+    shown = lambda k, _: ~hidden(k, names)
+    by_tool = [f.name for f in samples.schema.fields if f.dataType.typeName() == "map"]
+    return samples.withColumns({c: F.map_filter(c, shown) for c in by_tool}).where(F.size("code") > 0)
 
 
 def malware_projects(functions: DataFrame, registered: DataFrame) -> DataFrame:

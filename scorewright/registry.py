@@ -484,9 +484,19 @@ def _(d):
     return visibility.strip(d, ["tool_a", "tool_b"]).obs.groupBy("dec", "metric").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_data("hide_by_base_name", "SELECT dec, metric, CAST(count(*) AS BIGINT) AS n FROM obs WHERE split_part(dec, '@', 1) NOT IN ('tool_b') GROUP BY ALL")
+@_data("hide_by_base_name", "SELECT dec, CAST(sum(obs) AS BIGINT) AS obs, CAST(sum(flags) AS BIGINT) AS flags, CAST(sum(builds) AS BIGINT) AS builds FROM (SELECT dec, 1 AS obs, 0 AS flags, 0 AS builds FROM obs WHERE split_part(dec, '@', 1) <> 'tool_b' UNION ALL SELECT dec, 0, CASE WHEN split_part(dec, '@', 1) <> 'tool_b' THEN 1 ELSE 0 END, CASE WHEN byte_match IS NOT NULL THEN 1 ELSE 0 END FROM v_obs WHERE split_part(dec, '@', 1) <> 'tool_b' OR byte_match IS NOT NULL) GROUP BY dec")
 def _(d):
-    return visibility.hide(d, ["tool_b"]).obs.groupBy("dec", "metric").agg(F.count(F.lit(1)).alias("n"))
+    out = visibility.hide(d, ["tool_b"])
+    one, none = F.lit(1), F.lit(0)
+    rows = out.obs.select("dec", one.alias("obs"), none.alias("flags"), none.alias("builds"))
+    tries = out.attempts.select("dec", none.alias("obs"), F.col("decompiled").isNotNull().cast("int").alias("flags"), F.col("compiles").isNotNull().cast("int").alias("builds"))
+    return rows.unionByName(tries).groupBy("dec").agg(*[F.sum(c).alias(c) for c in ("obs", "flags", "builds")])
+
+
+@_data("hidden_errors", _COMBO + f"SELECT preset, normalize, dec, {_NUM % 'NOT decompiled'} AS num, CAST(count(*) AS BIGINT) AS den FROM combo JOIN v_obs USING (fn_id) WHERE normalize = 0 AND dec <> 'tool_b@2.0' GROUP BY ALL")
+def _(d):
+    hidden = visibility.hide(d, ["tool_b"])
+    return facts.errors(facts.combo_counts(facts.function_facts(hidden)), hidden.decs).where("normalize = 0")
 
 
 @_data("malware_exclusion", "SELECT project, CAST(count(*) AS BIGINT) AS dropped FROM v_fn WHERE project IN ('proj_05', 'proj_06') GROUP BY project")
@@ -616,16 +626,17 @@ def _(d):
 # --- text, formatting, kernels -------------------------------------------------------------------
 
 
-@_tables("code_metrics", "SELECT doc_id, CAST((length(text) - length(replace(text, 'the ', ''))) // 4 AS BIGINT) AS gotos FROM documents")
+@_tables("code_metrics", "SELECT doc_id, CAST(len(string_split(code, 'goto ')) - 1 AS BIGINT) AS gotos, CAST(len(string_split(code, ' && ')) + len(string_split(code, ' || ')) - 2 AS BIGINT) AS bools FROM (SELECT doc_id, replace(replace(replace(text, 'the ', 'goto '), ' of ', ' && '), ' in ', ' || ') AS code FROM documents)")
 def _(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", X.occurrences(F.col("text"), "the ").alias("gotos"))
-
-
+    code = F.col("text")
+    for word, to in (("the ", "goto "), (" of ", " && "), (" in ", " || ")):
+        code = F.replace(code, F.lit(word), F.lit(to))
+    gotos, bools = X.code_metrics(code)
+    return _read(spark, sf_dir, "documents").select("doc_id", gotos.alias("gotos"), bools.alias("bools"))
 
 
-@_tables("operand_normalise", """WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'call' WHEN 1 THEN 'mov' ELSE 'adrp' END AS mnemonic, CASE page_id % 4 WHEN 0 THEN concat('0x', page_id) WHEN 1 THEN concat('rax, [rip + 0x', page_id, ']') WHEN 2 THEN concat('[rax + ', page_id, ']') ELSE concat('x0, #', page_id) END AS operands FROM pages),
-k AS (SELECT *, regexp_replace(operands, '\\[(rip|pc)(?:\\s*[+\\-,]\\s*#?-?(?:0x[0-9a-fA-F]+|\\d+))?\\]', '[\\1+X]', 'g') AS kept FROM p)
-SELECT page_id, CASE WHEN mnemonic = 'adrp' OR (mnemonic = 'call' AND NOT contains(kept, '[')) THEN regexp_replace(kept, '#?-?(?:0x[0-9a-fA-F]+|\\d+)', 'X', 'g') ELSE kept END AS normal FROM k""")
+@_tables("operand_normalise", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN CASE WHEN page_id % 3 = 1 THEN concat('0x', page_id) ELSE 'X' END WHEN 1 THEN 'rax, [rip+X]'
+  WHEN 2 THEN CASE WHEN page_id % 3 = 2 THEN '[rax + X]' ELSE concat('[rax + ', page_id, ']') END ELSE CASE WHEN page_id % 3 = 1 THEN concat('x0, #', page_id) ELSE 'xX, X' END END AS normal FROM pages""")
 def _(spark, sf_dir):
     i = F.col("page_id")
     mnemonic = F.when(i % 3 == 0, "call").when(i % 3 == 1, "mov").otherwise("adrp")
@@ -633,7 +644,9 @@ def _(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", X.normalize_operands(mnemonic, operands).alias("normal"))
 
 
-@_tables("sanitize_c", "SELECT doc_id, replace(replace(regexp_replace(text, '\\s*@\\s*[a-z]\\w+\\b', '', 'g'), 'unsigned __int128', 'unsigned long long'), '__int128', 'long long') AS code FROM documents")
+#: The text cut at each @; where a register's name follows, it goes with the blanks before the @.
+@_tables("sanitize_c", """WITH p AS (SELECT doc_id, string_split(text, '@') AS parts FROM documents), q AS (SELECT doc_id, parts, list_transform(parts, lambda x, i: CASE WHEN i = 1 THEN 0 ELSE length(regexp_extract(x, '^\\s*[a-z]\\w+')) END) AS cut FROM p)
+SELECT doc_id, array_to_string(list_transform(parts, lambda x, i: concat(CASE WHEN i > 1 AND cut[i] = 0 THEN '@' ELSE '' END, CASE WHEN coalesce(cut[i + 1], 0) > 0 THEN rtrim(substr(x, cut[i] + 1), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) ELSE substr(x, cut[i] + 1) END)), '') AS code FROM q""")
 def _(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", X.sanitize_c(F.col("text")).alias("code"))
 

@@ -26,6 +26,29 @@ def test_tokens():
     assert C.sanitize_tokens(twice) == "\ntypedef struct s { int a; int b; } s;" and C.sanitize_tokens(None) is None
 
 
+def test_annotations_and_literals():
+    assert C.sanitize_tokens("fprintf(GLIBC_2.2.5::stderr, msg);") == "fprintf(stderr, msg);"
+    assert C.sanitize_tokens("int f(int a) { return a + 1; }") == "int f(int a) { return a + 1; }"
+    assert C.sanitize_tokens("int main() __noreturn {") == "int main() {"
+    assert C.sanitize_tokens('void f() __convention("regparm") {') == "void f() {"
+    assert C.sanitize_tokens("int __cdecl g(int a)") == "int g(int a)"
+    kept = 'puts("__cdecl 1f a::b"); // __cdecl\n/* x @ eax */ char c = \'@\';'
+    assert C.sanitize_tokens(kept) == kept and C.sanitize_tokens("goto (f)(x);") == "goto *(void *)(x);"
+    assert C.without_literals('a("x//y", \'c\') /* d */ + 1; // e') == 'a("", \'\')  + 1; ' and C.without_literals(None) is None
+
+
+def test_definitions():
+    old = "void send(s, n);\nlocal void send(s, n)\n    state *s;\n    int n, m;\n{ rank = n; }\n\nvoid next_fn(void) { }\n"
+    assert C.definition_text(old, "send") == "local void send(s, n)\n    state *s;\n    int n, m;\n{ rank = n; }"
+    assert C.definition_text("int foo();\n\nint bar(void) {\n    return 42;\n}\n", "foo") is None
+    assert C.definition_text("int main(void) { return helper(1); }\nstatic int helper(int x) { return x * 2; }", "helper") == "static int helper(int x) { return x * 2; }"
+    two = "#if A\nint f(void) { return 1; }\n#else\nint f(void) { return 2; }\n#endif\n"
+    assert "1" in C.definition_text(two, "f") and "2" in C.definition_text(two, "f", 4) and C.definition_text(None, "f") is None
+    assert C.definition_text("int reg(int (*cb)(int), int n) { return cb ? n : 0; }", "reg").startswith("int reg(")
+    assert C.renamed("int foo(int a) { return foo(a) + foobar; } // foo", "zed") == "int zed(int a) { return zed(a) + foobar; } // foo"
+    assert C.renamed("x = 1;", "zed") == "x = 1;" and C.renamed(None, "zed") is None
+
+
 def test_udfs(spark):
     df = spark.createDataFrame([("int f(int a) { }", "f"), (None, None)], "code string, name string")
     out = df.select(C.variables_udf()("code", "name").alias("v"), C.sanitize_tokens_udf()("code").alias("s"), C.functions_udf()("code").alias("f")).collect()
