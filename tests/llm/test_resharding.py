@@ -36,42 +36,71 @@ def test_law_and_slots(spark):
         assert not (gained and lost) and count[s] == old[s] + gained - lost
     moved = [r for r in out if r.old != r.shard]
     for s in {r.old for r in moved}:
-        kind = lambda n: math.floor(math.log2(n) * op.CLASSES)
-        stay = [kind(r.size) for r in out if r.old == s == r.shard]
-        assert max(kind(r.size) for r in moved if r.old == s) <= min(stay, default=99)  # the smallest leave
+        stay = [r.size for r in out if r.old == s == r.shard]
+        assert max(r.size for r in moved if r.old == s) <= min(stay, default=10**9)  # the smallest leave
+
+
+def least_bytes(sizes, shards):
+    """By trial of all ways to deal out the capacities: a shard's smallest rows leave."""
+    low, odd = divmod(sum(map(len, sizes.values())), shards)
+    cost = lambda cap: sum(sum(sorted(v)[: max(0, len(v) - cap.get(s, 0))]) for s, v in sizes.items())
+    return min(cost({s: low + (s in more) for s in range(shards)}) for more in itertools.combinations(range(shards), odd))
+
+
+def test_fewest_bytes_move(spark):
+    r = random.Random(5)
+    for n, shards, olds in [(37, 4, 4), (50, 5, 7), (23, 6, 3), (8, 3, 3)]:
+        rows = [(i, "x" * r.choice([0, 1, 1, 5, 9, 40, 41, 300]), "s", "x") for i in range(n)]
+        old = {i: r.choice([0, 0, *range(olds)]) for i in range(n)}
+        df = spark.createDataFrame(rows, SCHEMA)
+        number = F.element_at(F.create_map(*[F.lit(x) for kv in old.items() for x in kv]), F.col("doc_id").cast("int"))
+        out = op.reshard(df, number, shards).collect()
+        count = Counter(x.shard for x in out)
+        assert max(count.values()) - min(count[s] for s in range(shards)) <= 1 and len(out) == n
+        sizes = defaultdict(list)
+        for i, t, *_ in rows:
+            sizes[old[i]].append(len(t) + 8)
+        assert sum(x.size for x in out if x.old != x.shard) == least_bytes(sizes, shards)
 
 
 def test_flow_is_the_cheapest():
     r = random.Random(3)
-    for _ in range(60):
-        supply = {s: [(float(r.randint(1, 9)), r.randint(1, 3)) for _ in range(r.randint(1, 2))] for s in range(3)}
-        capacity = op.capacities(supply, 3)
-        rows = {s: [c for c, n in b for _ in range(n)] for s, b in supply.items()}
-        total = sum(map(len, rows.values()))
-        assert sum(capacity.values()) == total and max(capacity.values()) - min(capacity.values()) <= 1
-        leave = lambda cap: sum(sum(sorted(rows[s])[: max(0, len(rows[s]) - cap[s])]) for s in rows)
-        low = total // 3
-        best = min(leave(dict(enumerate(c))) for c in itertools.product((low, low + 1), repeat=3) if sum(c) == total)
-        assert leave(capacity) == best
-        moves = op.solve(supply, capacity)
-        for s in rows:
-            out = sum(n for (a, _), n in moves.items() if a == s)
-            assert len(rows[s]) - out + sum(n for (_, b), n in moves.items() if b == s) == capacity[s]
-            assert out == max(0, len(rows[s]) - capacity[s])
+    for _ in range(150):
+        supply, room = [r.randint(1, 3) for _ in range(3)], [r.randint(1, 4) for _ in range(3)]
+        price = [[r.randint(0, 9) for _ in range(3)] for _ in range(3)]
+        arcs = [("s", ("a", i), n, 0.0) for i, n in enumerate(supply)] + [(("a", i), ("b", j), 9, float(price[i][j])) for i in range(3) for j in range(3)] + [(("b", j), "t", n, 0.0) for j, n in enumerate(room)]
+        flow = op.min_cost_flow(arcs, "s", "t")
+        units = [i for i, n in enumerate(supply) for _ in range(n)]
+        total, best = min(len(units), sum(room)), 10**9
+        states = {tuple(room): {0: 0}}  # rooms left: least cost by units placed
+        for i in units:
+            fresh = {k: dict(v) for k, v in states.items()}
+            for left, costs in states.items():
+                for j in range(3):
+                    if left[j]:
+                        at = fresh.setdefault(tuple(x - (k == j) for k, x in enumerate(left)), {})
+                        for k, c in costs.items():
+                            at[k + 1] = min(at.get(k + 1, 10**9), c + price[i][j])
+            states = fresh
+        best = min(v[total] for v in states.values() if total in v)
+        assert sum(f for f, a in zip(flow, arcs) if a[1] == "t") == total
+        assert sum(f * a[3] for f, a in zip(flow, arcs)) == best
+        for node in [("a", i) for i in range(3)] + [("b", j) for j in range(3)]:
+            assert sum(f for f, a in zip(flow, arcs) if a[1] == node) == sum(f for f, a in zip(flow, arcs) if a[0] == node)
 
 
 def test_rewrites_only_affected_files(spark, tmp_path):
-    rows = [(i, f"text {i}", "s", "x") for i in range(40)]
-    source, target = str(tmp_path / "a"), str(tmp_path / "b")
+    rows = [(i, f"text {i}", "s", "x") for i in range(38)] + [(37, "text 37", "s", "x"), (None, None, None, "y")]
+    target = str(tmp_path / "b")
     old = F.when(F.col("doc_id") < 10, 0).when(F.col("doc_id") < 20, 1).when(F.col("doc_id") < 35, 2).otherwise(3)
-    df = spark.createDataFrame(rows, SCHEMA)
-    df.withColumn("shard", old).write.partitionBy("shard").parquet(source)
-    places = op.reshard(df, old, 4)
-    touched = op.rewrite(source, target, places)
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"shard": F.lit("own"), "key": F.lit(7)})
+    places = op.materialise(op.reshard(df, old, 4), "places")
+    touched = op.rewrite(df, old, places, target)
     assert touched == [2, 3]
-    got = {r.doc_id: (r.shard, r.text) for r in spark.read.parquet(target).collect()}
-    want = {r.doc_id: r.shard for r in places.collect()}
-    assert set(got) == set(range(20, 40)) and all(got[i] == (want[i], f"text {i}") for i in got)
+    got = Counter((r.doc_id, r.text, r.shard, r.key, r.to_shard) for r in spark.read.parquet(target).collect())
+    text = {d: t for d, t, *_ in rows}
+    want = Counter((r.doc_id, text[r.doc_id], "own", 7, r.shard) for r in places.collect() if r.old in (2, 3))
+    assert got == want and sum(got.values()) == 20
 
 
 def test_edges(spark):
