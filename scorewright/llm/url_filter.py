@@ -3,14 +3,15 @@
 A rule fits its host and all subdomains where the URL's path starts with the rule's; the longest
 fitting rule decides. Other URLs are judged by the list: a canonical URL that is listed is blocked.
 The list's Bloom filter has one 64-bit word per block; a URL's hash picks a block and eight bits of
-its word. Words are OR-ed by block, so building and probing are a grouped aggregate and an equality
-join on the block number; Spark broadcasts the words only below its threshold. Possible hits then
-meet the list in an exact join on the canonical URL, which removes the false positives.
+its word. Words are OR-ed by block in a grouped aggregate and probed by an equality join on the block
+number. Up to ``MOST_BLOCKS`` words are broadcast; beyond that pages and words are dealt out by block.
+Only the possible hits then go into an exact hash join with the list on the canonical URL, which
+removes the false positives. Pages that a rule decides, or that have no canonical URL, are never probed.
 
 Canonical: lower-case host without ``www.`` or ``m.`` and default port, path without trailing
 slashes, query without tracking parameters in sorted order, no scheme and no fragment.
 
-Null URLs and URLs without ``://`` have empty host and path: no rule fits, and they are never
+Null URLs (very long ones are like others) and URLs without ``://`` have empty host and path: no rule fits, and they are never
 listed, so they are allowed. Repeated pages are each judged. Null entries of the list are ignored,
 repeated ones count once. Extra columns are ignored.
 """
@@ -44,8 +45,12 @@ RULES = (
     Rule("net", "/fr/", "block"),
 )
 TRACKING = ("ref", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid")
+#: Characters of HTML below which a page is thin.
+THIN = 1_500
 BITS_PER_URL = 16
 PROBES = 8
+#: Words up to which the filter is broadcast: 16 bytes each, for 4 listed URLs.
+MOST_BLOCKS = 1 << 20
 
 
 def host(url: Column) -> Column:
@@ -104,23 +109,28 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RULES)
     url = pages["url"].cast("string")
     rows = pages.select("page_id", host(url).alias("host"), path(url).alias("path"), canonical(url).alias("_url"))
     rows = rows.withColumn("_rule", rule(F.col("host"), F.col("path"), rules))
-    rows = rows.join(words, _block(F.col("_url"), blocks) == words["block"], "left")
-    possible = F.coalesce(F.col("word").bitwiseAND(_mask(F.col("_url"))) == _mask(F.col("_url")), F.lit(False))
-    rows = rows.withColumn("_maybe", F.when(possible, F.col("_url")))  # only possible hits have a key to join
-    exact = listed.select(F.col("url").alias("_listed"))
-    rows = rows.join(exact, rows["_maybe"] == exact["_listed"], "left")
-    own = F.when(F.col("_listed").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.select("page_id", "host", "path", F.col("_rule.name").alias("rule"), F.coalesce("_rule.verdict", own).alias("verdict"))
+    open_ = F.col("_rule").isNull() & F.col("_url").isNotNull()
+    words = F.broadcast(words) if blocks <= MOST_BLOCKS else words
+    mask = F.col("word").bitwiseAND(_mask(F.col("_url"))) == _mask(F.col("_url"))
+    probed = rows.where(open_).join(words, _block(F.col("_url"), blocks) == words["block"], "left").withColumn("_maybe", F.coalesce(mask, F.lit(False)))
+    exact = listed.select(F.col("url").alias("_listed")).hint("shuffle_hash")
+    hits = probed.where("_maybe").join(exact, F.col("_url") == F.col("_listed"), "left")
+    verdict = F.when(F.col("_listed").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
+    out = lambda df, rule, verdict: df.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+    none, allow = F.lit(None).cast("string"), F.lit("allow")
+    ruled = out(rows.where(~open_), F.col("_rule.name"), F.coalesce("_rule.verdict", allow))
+    return ruled.unionByName(out(probed.where("not _maybe"), none, allow)).unionByName(out(hits, none, verdict))
 
 
-def recrawled(pages: DataFrame) -> DataFrame:
-    """The list of the registered query: canonical URLs that two or more pages have, under different spellings or not."""
-    return pages.select(canonical(pages["url"].cast("string")).alias("url")).where("url is not null").groupBy("url").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("url")
+def thin(pages: DataFrame) -> DataFrame:
+    """The list of the registered query: canonical URLs that have been seen with a thin page, under any spelling. Any other list can be passed to ``judge``."""
+    found = pages.where(F.length(pages["html"].cast("string")) < THIN)
+    return found.select(canonical(found["url"].cast("string")).alias("url"))
 
 
 def query(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    return judge(pages, recrawled(pages))
+    return judge(pages, thin(pages))
 
 
 _LOWER = "translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -130,12 +140,12 @@ _VERDICT = "CASE " + _FITS.format(*[r.verdict for r in RULES]) + " END"
 SQL = f"""
 WITH page AS (
   SELECT page_id, coalesce({_LOWER % "regexp_extract(url, '://([^/?#]*)', 1, 's')"}, '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
-    list_sort(list_filter(string_split(regexp_extract(url, '://[^?#]*\\?([^#]*)', 1, 's'), '&'), lambda p: p <> '' AND string_split(p, '=')[1] NOT IN {TRACKING})) AS asked, coalesce(contains(url, '://'), false) AS real
+    list_sort(list_filter(string_split(regexp_extract(url, '://[^?#]*\\?([^#]*)', 1, 's'), '&'), lambda p: p <> '' AND string_split(p, '=')[1] NOT IN {TRACKING})) AS asked, coalesce(contains(url, '://'), false) AS real, coalesce(length(html) < {THIN}, false) AS thin
   FROM pages
 ), canon AS (
   SELECT *, CASE WHEN real THEN regexp_replace(regexp_replace(host, ':(80|443)?$', ''), '^(www|m)\\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END END AS url FROM page
 ), listed AS (
-  SELECT url AS l FROM canon WHERE url IS NOT NULL GROUP BY url HAVING count(*) > 1
+  SELECT DISTINCT url AS l FROM canon WHERE url IS NOT NULL AND thin
 )
 SELECT page_id, host, path, {_NAME} AS rule, coalesce({_VERDICT}, CASE WHEN l IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM canon LEFT JOIN listed ON url = l

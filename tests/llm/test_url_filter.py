@@ -57,5 +57,23 @@ def test_bloom_has_few_false_positives(spark):
     assert hits(listed) == 2000 and hits(other) < 0.05 * 4000
 
 
+def test_without_broadcast(spark, monkeypatch):
+    """Past the bound the filter is dealt out by block; the verdicts are the same, and one hot URL doesn't matter."""
+    urls = [f"https://s{i % 50}.org/{'' if i % 3 else i}" for i in range(600)] + ["https://hot.org/a"] * 400 + [None] * 300
+    want = [r.verdict for _, r in sorted(verdicts(spark, urls, ["hot.org/a", "s1.org"]).items())]
+    monkeypatch.setattr(op, "MOST_BLOCKS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = [r.verdict for _, r in sorted(verdicts(spark, urls, ["hot.org/a", "s1.org"]).items())]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want and want[600:1000] == ["block"] * 400 and set(want[1000:]) == {"allow"}
+
+
+def test_very_long_url(spark):
+    out = verdicts(spark, ["https://x.org/" + "a/" * 200_000, "https://x.org/" + "a/" * 200_000 + "?ref=1"], ["x.org/" + "a/" * 199_999 + "a"])
+    assert out[0].verdict == out[1].verdict == "block"
+
+
 def test_empty(spark):
     assert verdicts(spark, []) == {}
