@@ -93,3 +93,30 @@ def test_edges(spark):
 def test_distance_needs_enough_segments(spark):
     with pytest.raises(ValueError):
         op.link(spark.createDataFrame([(1, 1)], "doc_id long, fp long"), distance=6)
+
+
+def test_crowded_variants_lose_no_link(spark, monkeypatch):
+    """Fingerprints with few bits set crowd some variants, which are split."""
+    r = random.Random(6)
+    fps = sorted({sum(1 << b for b in range(63) if r.random() < 0.12) for _ in range(400)} | {1 << b for b in range(63)})
+    frame = spark.createDataFrame(list(enumerate(fps)), "doc_id long, fp long")
+    comp = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4 and comp[i] != comp[j]:
+                a, b = sorted((comp[i], comp[j]))
+                comp = [a if c == b else c for c in comp]
+    for crowd in (2, 64):
+        monkeypatch.setattr(op, "CROWD", crowd)
+        out = {x.fp: x.component_id for x in op.link(frame).collect()}
+        assert [out[f] for f in fps] == comp
+
+
+def test_keep_one_of_repeated_rows(spark):
+    text = "a b c d e f g h"
+    rows = [(5, text, "x"), (5, text, "y"), (5, "zz yy", "x"), (None, text, "x"), (None, "zz yy", "n"), (None, "qq", "x"), (None, "qq", "x"), (7, None, "x"), (7, "", "y")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"fp": op.F.lit(1), "component_id": op.F.lit("c"), "_k1": op.F.lit(2)})
+    kept = op.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), (r.text or "")) for r in kept.collect()) == [("5", text), ("5", "zz yy"), ("7", ""), ("None", "qq")]
+    assert op.keep_one(df.limit(0)).collect() == []
