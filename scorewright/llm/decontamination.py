@@ -4,17 +4,18 @@ Benchmark items are cut into windows of ten consecutive words (a shorter item is
 window's tokens are its five-word shingles (all its words, where it has fewer than five). Since a
 window must be contained whole, its necessary prefix is one token, and the rarest serves best:
 
-1. one pass over the documents keeps the positions of shingles that any window has;
-2. shingles are ordered by how often the corpus has them; a window with a shingle that the corpus
-   lacks can't occur, and of the others only the rarest shingle is joined;
+1. one pass over the documents counts the shingles that any window has;
+2. shingles are ordered by these counts; a window with a shingle that the corpus lacks can't occur, and
+   of the others only the rarest shingle, the prefix, is joined with the documents in a second pass;
 3. the shingle's place in the window and in the document fixes where the window would start; it
    has to lie inside the document (positional and length bounds);
 4. the words at that place are compared with the window's words.
 
-Only hits are kept between steps, with the words around them; texts are never shuffled. The table
-of the benchmark's shingles is joined by hash, and Spark broadcasts it only below its threshold.
+Only hits of prefixes are kept between steps, with the words around them. Up to ``MOST_BROADCAST``
+shingles the benchmark's side is broadcast, and texts are never shuffled; beyond that positions and
+hashes alone are, and the words around a hit are cut from the document afterwards.
 
-Null and empty texts have no words: such documents are clean, such items have no window. Repeated
+Null and empty texts have no words (very long ones are read whole): such documents are clean, such items have no window. Repeated
 documents are each reported. A document is its id and text, so equal ids with other texts stay
 apart, and null ids are kept. Null item ids are listed as empty strings. Repeated items count as
 often as they differ in id. Extra columns are ignored.
@@ -29,6 +30,10 @@ from .common import ascii_lower, materialise, table, text_of
 
 WINDOW = 10
 SHINGLE = 5
+#: Hashes of shingles up to which they are broadcast.
+MOST_BROADCAST = 1_000_000
+#: Words of a document that are looked at together, so that no row of a very long text carries all of it.
+PIECE = 512
 #: Between words: ASCII other than digits and lower-case letters, after A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -56,6 +61,48 @@ def _shingles(df: DataFrame, words: str, size: int, *keep: str) -> DataFrame:
     return rows.withColumn("h", _shingle(words, "at", size))
 
 
+def _union(parts: list[DataFrame], *names: str) -> DataFrame:
+    out = parts[0].select(*names)
+    for more in parts[1:]:
+        out = out.unionByName(more.select(*names))
+    return out
+
+
+def _side(hashes: DataFrame) -> DataFrame:
+    return F.broadcast(hashes) if hashes.count() <= MOST_BROADCAST else hashes
+
+
+def _positions(text: DataFrame, size: int, margin: int, *keep: str) -> DataFrame:
+    """``keep``, at, h and the words around (``w``, from word ``first``) of each shingle of ``text``, by pieces of documents."""
+    rows = text.where(F.size("w") >= size).select(*keep, "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - size) / PIECE).cast("int"))).alias("c"))
+    first = F.greatest(F.col("c") * PIECE - margin, F.lit(0))
+    rows = rows.select(*keep, "c", (F.size("w") - size).alias("last"), first.alias("first"), F.slice("w", first + 1, F.lit(PIECE + size - 1 + 2 * margin)).alias("w"))
+    at = F.sequence(F.col("c") * PIECE, F.least(F.col("c") * PIECE + PIECE - 1, F.col("last")))
+    rows = rows.select(*keep, "first", "w", F.explode(at).alias("at")).withColumn("local", F.col("at") - F.col("first"))
+    return rows.withColumn("h", _shingle("w", "local", size))
+
+
+def _hits(text: DataFrame, chosen: DataFrame, sizes: list[int], margin: int) -> DataFrame:
+    """(doc_id, th, h, at, first, around): places of chosen shingles with up to ``margin`` words before and after, from word ``first``."""
+    side = _side(chosen)
+    own = ["doc_id", "th", "at", "h", "first", "around"]
+
+    def cut(rows: DataFrame, size: int) -> DataFrame:
+        start = F.greatest(F.col("at") - margin, F.lit(0))
+        return rows.select("doc_id", "th", "at", "h", start.alias("first"), F.slice("w", start - F.col("first") + 1, F.lit(2 * margin + size)).alias("around"))
+
+    if side is not chosen:
+        found = _union([cut(_positions(text, k, margin, "doc_id", "th").join(side, "h"), k) for k in sizes], *own)
+    else:  # too many to send: the words stay behind
+        places = _union([_positions(text, k, 0, "doc_id", "th").select("doc_id", "th", "at", "h").join(chosen, "h") for k in sizes], "doc_id", "th", "at", "h").distinct()
+        spots = places.groupBy(F.col("doc_id").alias("p_id"), F.col("th").alias("p_th"), F.floor(F.col("at") / PIECE).alias("c")).agg(F.collect_list(F.struct("at", "h")).alias("spots"))  # of one piece
+        held = text.join(spots, text["doc_id"].eqNullSafe(F.col("p_id")) & (text["th"] == F.col("p_th")))
+        first = F.greatest(F.col("c") * PIECE - margin, F.lit(0)).cast("int")
+        held = held.select("doc_id", "th", "spots", first.alias("first"), F.slice("w", first + 1, F.lit(PIECE + max(sizes) + 2 * margin)).alias("w"))
+        found = cut(held.select("doc_id", "th", "first", "w", F.explode("spots").alias("x")).select("doc_id", "th", "first", "w", "x.at", "x.h"), max(sizes))
+    return materialise(found, "decon-hits")
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """((doc_id, th, start, size, wid) for each place of a window in a document, (wid, item_id)). th: hash of the text."""
     cut = materialise(windows(benchmark, window).withColumn("wid", F.sha2(F.array_join("words", " "), 256)), "decon-windows")
@@ -69,20 +116,14 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shi
     tokens = materialise(tokens, "decon-tokens")
     listed = materialise(tokens.select("h").distinct(), "decon-shingles")
     text = docs.select("doc_id", F.xxhash64(text_of(docs)).alias("th"), words(docs).alias("w"))
-    margin = window - 1
-    hits = None
-    for k in sizes or [shingle]:
-        found = _shingles(text, "w", k, "doc_id", "th").join(listed, "h")
-        first = F.greatest(F.col("at") - margin, F.lit(0))
-        found = found.select("doc_id", "th", "h", "at", first.alias("first"), F.slice("w", first + 1, F.lit(2 * margin + k)).alias("around"))
-        hits = found if hits is None else hits.unionByName(found)
-    hits = materialise(hits, "decon-hits")
-    seen = hits.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
+    seen = _union([_positions(text, k, 0) for k in sizes or [shingle]], "h").join(_side(listed), "h", "left_semi")
+    seen = materialise(seen.groupBy("h").agg(F.count(F.lit(1)).alias("often")), "decon-seen")
     rarest = Window.partitionBy("wid").orderBy("often", "h", "o")
     prefix = tokens.select("wid", "size", "words", "h", F.col("at").alias("o")).join(seen, "h", "left")
     prefix = prefix.withColumn("all", F.min(F.coalesce("often", F.lit(0))).over(Window.partitionBy("wid"))).where("all > 0")
     prefix = prefix.withColumn("r", F.row_number().over(rarest)).where("r = 1").select("wid", "size", "words", "h", "o")
     prefix = materialise(prefix, "decon-prefix")
+    hits = _hits(text, materialise(prefix.select("h").distinct(), "decon-chosen"), sizes or [shingle], window - 1)
     start = F.col("at") - F.col("o")
     inside = F.slice("around", start - F.col("first") + 1, F.col("size"))
     pairs = hits.join(prefix, "h").where(start >= 0)

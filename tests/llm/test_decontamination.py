@@ -39,10 +39,24 @@ def test_matches_brute_force(spark):
     text = lambda n: "".join(r.choice(vocab) + r.choice([" ", ", ", "\n", "-"]) for _ in range(n))
     items = [(i, text(r.choice([0, 1, 3, 4, 7, 10, 11, 30]))) for i in range(25)] + [(99, "the of the of the of the of the of the of"), (98, "on on on on")]
     docs = [(i, text(r.randint(0, 60)) + (items[r.randrange(27)][1].upper() if i % 3 else "") + text(r.randint(0, 30))) for i in range(60)]
-    docs += [(200, "on " * 4000), (201, None), (202, "")]
+    docs += [(200, "on " * 4000 + text(30_000)), (201, None), (202, "")]
     assert run(spark, docs, items) == brute(docs, items)
 
 
+def test_without_broadcast(spark, monkeypatch):
+    """Past the bound only positions are shuffled; a passage that many documents share doesn't matter."""
+    r = random.Random(9)
+    text = lambda n: " ".join(r.choice(["a", "b", "c", "dd"]) for _ in range(n))
+    items = [(i, text(r.choice([2, 4, 9, 12, 20]))) for i in range(12)]
+    docs = [(i, text(40) + " " + items[3][1] * (i % 2)) for i in range(60)] + [(7, None), (None, items[3][1]), (1, items[3][1]), (1, items[3][1])]
+    monkeypatch.setattr(op, "MOST_BROADCAST", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert run(spark, docs, items) == brute(docs, items)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_edges(spark):
     one = "a b c d e f g h i j k"
     docs = [(1, one), (1, one), (None, one), (2, "a b c d e f g h i"), (1, "other words")]
