@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import small_batches, table
 
 CAPACITY = 4096
 OPEN_BINS = 512
@@ -138,6 +138,18 @@ class Packer:
         return seq, self.capacity - free
 
 
+def placed(batch: pd.DataFrame, encode: Encoder, packer: Packer, capacity: int) -> pd.DataFrame:
+    rows: list[tuple] = []
+    for doc_id, ids in zip(batch["doc_id"], map(encode, batch["text"]), strict=True):
+        own = None if doc_id is None or doc_id != doc_id else int(doc_id)  # text: pandas makes longs with nulls floats
+        for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+            part = ids[start : start + 4 * capacity]
+            seq, offset = packer.add(len(part) // 4)
+            rows.append((own, piece, start // 4, len(part) // 4, zlib.crc32(part), seq, offset))
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    return pd.DataFrame({n: pd.array([r[i] for r in rows], dtype="Int64") for i, n in enumerate(names)})
+
+
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """One row per piece of each document of ``docs`` (doc_id, text)."""
 
@@ -148,22 +160,20 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        gc.disable()  # the memos are large and hold no cycles
         encode = Encoder(vocabulary or public_tokenizers.path(VOCABULARY))
         packer = Packer(capacity, open_bins, TaskContext.get().partitionId() << 36)
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, ids in zip(batch["doc_id"], map(encode, batch["text"]), strict=True):
-                own = None if doc_id is None or doc_id != doc_id else int(doc_id)  # text: pandas makes longs with nulls floats
-                for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[start : start + 4 * capacity]
-                    seq, offset = packer.add(len(part) // 4)
-                    rows.append((own, piece, start // 4, len(part) // 4, zlib.crc32(part), seq, offset))
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-            yield pd.DataFrame({n: pd.array([r[i] for r in rows], dtype="Int64") for i, n in enumerate(names)})
+        collects = gc.isenabled()
+        gc.disable()  # the memos are large and hold no cycles
+        try:
+            for batch in batches:
+                yield placed(batch, encode, packer, capacity)
+        finally:  # the worker goes on to other tasks
+            if collects:
+                gc.enable()
 
     return docs.select(docs["doc_id"].cast("string").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInPandas(run, SCHEMA)
 
 
 def query(spark, sf_dir):
+    small_batches(spark)
     return pack(table(spark, sf_dir, "documents"))

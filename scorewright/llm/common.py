@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """For the registered queries and the pipeline, which own their session: Arrow batches bounded by rows and bytes, to fit beside the heap.
+
+    The operators themselves change no setting that outlives them.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares; it is deleted when the application ends.
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ftrl
-from .common import materialise, table
+from .common import materialise, small_batches, table
 
 SITE_WEIGHT = 0.5
 KEEP = 0.5
@@ -86,4 +86,5 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir):
+    small_batches(spark)
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

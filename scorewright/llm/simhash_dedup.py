@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialise, text_of
+from .common import components, materialise, small_batches, table, text_of
 
 DISTANCE = 4
 SHINGLE = 4
@@ -164,6 +164,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir):
-    from .common import table
-
+    small_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
