@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scorewright.llm import best_fit_packing, decontamination, pii, simhash_dedup, toxicity
-from scorewright.llm.common import materialise, table
+from scorewright.llm.common import materialise, small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that of the smallest id."""
+    small_batches(spark)
     return simhash_dedup.keep_one(docs)
 
 
@@ -30,6 +32,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in the training sequences."""
+    small_batches(spark)
     return best_fit_packing.pack(docs)
 
 
