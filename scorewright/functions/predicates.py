@@ -86,3 +86,27 @@ def distance_of(metric: Column, value: Column, fp: Column, fn: Column, changed_l
     ged = F.when((metric == "ged") & value.isNotNull() & strictly_finite(value), value)
     types = F.when(metric == "type_match", (fp + fn).cast("double"))
     return F.coalesce(ged, types, F.when(metric == "byte_match", changed_lines.cast("double")))
+
+
+#: Units of sizes.
+UNITS = ("B", "KiB", "MiB", "GiB")
+
+
+def human_bytes(size: Column) -> Column:
+    """A size with one decimal in the largest unit of which it has at least one; bytes without decimals. Halves go to the even digit."""
+    out = F.format_string("%d B", size.cast("long"))
+    for k, unit in enumerate(UNITS[1:], 1):
+        out = F.when(size >= 1024**k, F.format_string(f"%.1f {unit}", F.bround(size / 1024**k, 1))).otherwise(out)
+    return out
+
+
+def opt_flags(opt_level: Column) -> Column:
+    """Compiler flags of an optimisation level such as ``O2-noinline``."""
+    parts = F.split(opt_level, "-")
+    return F.concat(F.lit("-"), parts[0], F.when(F.array_contains(parts, "noinline"), F.lit(" -fno-inline")).otherwise(F.lit("")))
+
+
+def line_of(text: Column, position: Column) -> Column:
+    """The line, from 1, of a place (from 0) in a text."""
+    before = F.substring(text, F.lit(1), position.cast("int"))
+    return F.length(before) - F.length(F.replace(before, F.lit("\n"))) + 1
