@@ -1,4 +1,4 @@
-"""The data set's JSON document: nested on disk, normalised tables in the engine."""
+"""The data set on disk: tables partitioned by project, which are the checkpoints of a run, and one JSON document for others to read."""
 
 from __future__ import annotations
 
@@ -62,6 +62,34 @@ def nested(data: Dataset, schema_version: int = 2) -> DataFrame:
     return doc.crossJoin(names).crossJoin(metrics).select(F.lit(schema_version).alias("schema_version"), "decompilers", "metrics", "perfect_values", "groups")  # one row each
 
 
+#: Tables of a data set that have a row for each function, and those that have a few rows for all.
+LARGE, SMALL = ("functions", "obs", "attempts"), ("decs", "metrics")
+
+
+def save(data: Dataset, path: str) -> None:
+    """Write the tables, large ones partitioned by project; of a folder that is there only the projects in ``data`` are replaced."""
+    project = data.functions.select("fn_id", "project")
+    for name in LARGE:
+        rows = data.functions if name == "functions" else getattr(data, name).join(project, "fn_id")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(f"{path}/{name}")
+    for name in SMALL:
+        getattr(data, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str, exclude: tuple[str, ...] = ()) -> Dataset:
+    """The data set of the checkpoints under ``path`` without excluded projects, whose files aren't read; unreadable files are skipped."""
+    # a schema of its own would drop the partition column, so it is read with the files
+    read = lambda name: spark.read.option("ignoreCorruptFiles", True).parquet(f"{path}/{name}")
+    wanted = ~F.col("project").isin(*exclude) if exclude else F.lit(True)
+    large = {name: read(name).where(wanted) for name in LARGE}
+    return Dataset(**{n: df if n == "functions" else df.drop("project") for n, df in large.items()}, **{n: read(n) for n in SMALL})
+
+
+def present_decs(data: Dataset) -> DataFrame:
+    """(project, dec) that a checkpoint already has: a resumed run passes them over."""
+    return data.attempts.join(data.functions.select("fn_id", "project"), "fn_id").select("project", "dec").distinct()
+
+
 def write(data: Dataset, path: str) -> None:
     nested(data).write.mode("overwrite").json(path)
 
@@ -82,7 +110,9 @@ def write_guarded(data: Dataset, path: str, allowed_projects=(), allowed_decs=()
     if fs.exists(here):
         fs.delete(previous, True)
         fs.rename(here, previous)
-    fs.rename(staged, here)
+    if not fs.rename(staged, here) and fs.exists(previous):
+        fs.rename(previous, here)
+        raise OSError(f"{path} could not be replaced")
 
 
 def write_json(df: DataFrame, path: str, numbers: list[str]) -> None:

@@ -14,7 +14,7 @@ MANIFEST = "name string, project string, opt string, stem string, sha256 string,
 
 
 def save(spark: SparkSession, tree: str, name: str, store: str) -> DataFrame:
-    """Capture a tree's binaries and the preprocessed sources beside them; returns the manifest. Files are copied by the driver, which sees the store."""
+    """Capture a tree's binaries and the preprocessed sources beside them; returns the manifest. Executors copy the files; they see the tree and the store."""
     if not Path(tree).is_dir():
         raise FileNotFoundError(tree)
     found = artifacts.binaries(spark, tree).select("project", F.col("opt_level").alias("opt"), F.col("file").alias("stem"), "sha256", "size")
@@ -26,10 +26,7 @@ def save(spark: SparkSession, tree: str, name: str, store: str) -> DataFrame:
     rows = found.withColumn("home", home).join(F.broadcast(table), "home", "left")
     paths = F.transform(F.coalesce("files", F.array().cast("array<string>")), lambda f: F.concat(F.col("home"), F.lit("/"), f))
     manifest = rows.select(F.lit(name).alias("name"), "project", "opt", "stem", "sha256", "size", F.concat_ws("/", "home", "stem").alias("binary_relpath"), paths.alias("source_relpaths"))
-    for r in manifest.collect():  # one row for each file to copy
-        for rel in [r["binary_relpath"], *r["source_relpaths"]]:
-            opt, project, file = rel.split("/")
-            _copy(Path(tree, opt, project, "compiled", file), Path(store, name, rel))
+    _copy_all(manifest, F.concat(F.lit(f"{tree}/"), "opt", F.lit("/"), "project", F.lit("/compiled/"), "file"), F.concat(F.lit(f"{store}/{name}/"), "rel"))
     manifest.coalesce(1).write.mode("overwrite").json(f"{store}/{name}/manifest")
     return load(spark, name, store)
 
@@ -51,13 +48,20 @@ def listing(spark: SparkSession, store: str) -> DataFrame:
 def materialise(spark: SparkSession, name: str, dest: str, store: str) -> DataFrame:
     """Lay a stored set out as a results tree."""
     manifest = load(spark, name, store)
-    for r in manifest.collect():
-        for rel in [r["binary_relpath"], *r["source_relpaths"]]:
-            opt, project, file = rel.split("/")
-            _copy(Path(store, name, rel), Path(dest, opt, project, "compiled", file))
+    _copy_all(manifest, F.concat(F.lit(f"{store}/{name}/"), "rel"), F.concat(F.lit(f"{dest}/"), "opt", F.lit("/"), "project", F.lit("/compiled/"), "file"))
     return manifest
 
 
-def _copy(a: Path, b: Path) -> None:
-    b.parent.mkdir(parents=True, exist_ok=True)
-    shutil.copy2(a, b)
+def _copy_all(manifest: DataFrame, source, target) -> None:
+    """Copy a manifest's files, dealt over tasks. source, target: paths by rel, opt, project and file."""
+    rel = F.explode(F.concat(F.array("binary_relpath"), "source_relpaths"))
+    files = manifest.select(rel.alias("rel")).distinct()
+    parts = F.split("rel", "/")
+    files = files.select("rel", parts[0].alias("opt"), parts[1].alias("project"), parts[2].alias("file")).select(source.alias("a"), target.alias("b"))
+
+    def copy(rows) -> None:
+        for r in rows:
+            Path(r["b"]).parent.mkdir(parents=True, exist_ok=True)
+            shutil.copy2(r["a"], r["b"])
+
+    files.foreachPartition(copy)

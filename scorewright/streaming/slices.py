@@ -16,13 +16,26 @@ def merge(current: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 
 def follow(spark: SparkSession, folder: str, target: str, checkpoint: str):
-    """Merge all slice files (JSON lines) of ``folder`` into versions under ``target``; returns when none is left."""
+    """Merge all slice files (JSON lines) of ``folder`` into ``target``; returns when none is left.
+
+    A batch writes its own entries only, to a folder of its number, so a batch that is run again
+    changes nothing. ``state`` merges them when read, ``compact`` for good.
+    """
     files = spark.readStream.schema(SCHEMA).json(folder)
     files = files.select("key", "value", "perfect", F.col("_metadata.file_modification_time").alias("arrived"), F.col("_metadata.file_name").alias("file"))
 
     def apply(batch: DataFrame, version: int) -> None:
-        own = batch.sparkSession
-        old = own.read.parquet(f"{target}/v{version - 1}") if version else None
-        merge(old, batch).write.mode("overwrite").parquet(f"{target}/v{version}")
+        merge(None, batch).write.mode("overwrite").parquet(f"{target}/batch={version}")
 
     return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def state(spark: SparkSession, target: str) -> DataFrame:
+    """The newest entry of each key."""
+    return merge(None, spark.read.option("basePath", target).parquet(target).drop("batch"))
+
+
+def compact(spark: SparkSession, target: str, compacted: str) -> DataFrame:
+    """Write the state as one batch of another target, which later batches can follow."""
+    state(spark, target).write.mode("overwrite").parquet(f"{compacted}/batch=-1")
+    return state(spark, compacted)

@@ -296,3 +296,33 @@ def test_scalars(spark):
     assert val(P.placeholder(F.lit("FUN_00ff"))) and not val(P.placeholder(F.lit("sub_xyz")))
     assert val(P.distance_of(F.lit("type_match"), F.lit(0.5), F.lit(2), F.lit(None).cast("int"), F.lit(None).cast("int"))) is None
     assert val(P.distance_of(F.lit("type_match"), F.lit(0.5), F.lit(2), F.lit(3), F.lit(None).cast("int"))) == 5.0
+
+
+def test_hidden_tools_everywhere(spark):
+    from scorewright.operators import visibility
+    from scorewright.plans.dataset import Dataset
+
+    new = spark.createDataFrame
+    obs = new([(1, d, "ged", 0.0, True, 0.0) for d in ("angr", "hid@9.2", "ghidra")], "fn_id long, dec string, metric string, value double, perfect boolean, distance double")
+    attempts = new([(1, "angr", True, None), (1, "hid@9.2", True, True), (2, "hid@9.2", False, None)], "fn_id long, dec string, decompiled boolean, compiles boolean")
+    decs = new([("angr", 0, False), ("hid@9.2", 1, False), ("ghidra", 2, False)], "dec string, pos int, sample_only boolean")
+    out = visibility.hide(Dataset(None, obs, attempts, decs, None), ["hid"])
+    assert {r.dec for r in out.obs.collect()} == {r.dec for r in out.decs.collect()} == {"angr", "ghidra"}
+    assert {tuple(r) for r in out.attempts.collect()} == {(1, "angr", True, None), (1, "hid@9.2", None, True)}
+    history = new([("hid@9.2", "9.2"), ("ghidra@12.1", "12.1")], "dec string, version string")
+    assert [r.dec for r in visibility.hide_rows(history, ["hid"]).collect()] == ["ghidra@12.1"]
+    samples = new([(1, {"angr": "A", "hid": "H"}, {"hid": 1.0}), (2, {"hid@9.2": "H"}, {})], "fn_id long, code map<string,string>, values map<string,double>")
+    got = visibility.hide_samples(samples, ["hid"]).collect()
+    assert [(r.fn_id, r.code, r["values"]) for r in got] == [(1, {"angr": "A"}, {})]
+
+
+def test_sources_of_functions(spark):
+    from scorewright.operators import source_lookup
+
+    new = spark.createDataFrame
+    wanted = new([("a", "f", None, None), ("b", "f", None, None), ("c", "f", None, None), ("gone", "f", None, None), ("a", "missing", None, None), ("e", "f", None, "two.c"), ("bare", "f", None, None)], "binary string, function_name string, line int, file string")
+    files = new([("a", "mod.c", "int f(int x){return x + 1;}\n"), ("a", "mod.i", "int f(int x){return x + 999;}\n"), ("b", "mod.i", "# 1 \"mod.c\"\nstatic int f(int x){return x + 1;}\n"), ("c", "mod.c", "int f(int x);\n"), ("e", "x/one.c", "int f(void) { return 1; }"), ("e", "x/two.c", "int f(void) { return 2; }")], "binary string, path string, text string")
+    out = {(r.binary, r.function_name): (r.source, r.status) for r in source_lookup.function_sources(wanted, new([(b,) for b in ("a", "c", "e", "bare")], "binary string"), files).collect()}
+    assert out["a", "f"] == ("int f(int x){return x + 1;}", "") and out["b", "f"][1] == "preprocessed" and "static" in out["b", "f"][0]
+    assert out["c", "f"] == (None, "extract_failed") and out["gone", "f"] == (None, "binary_not_found") and out["bare", "f"] == (None, "no_source_files")
+    assert out["a", "missing"] == (None, "func_not_in_sources") and out["e", "f"] == ("int f(void) { return 2; }", "")

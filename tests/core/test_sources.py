@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scorewright.functions import registry as plugins
 from scorewright.operators import cost, coverage, facts
 from scorewright.plans import finalize
+from scorewright.plans.dataset import Dataset
 from scorewright.sources import artifacts, function_data, overlays, store, traces
 from scorewright.streaming import slices
 
@@ -173,5 +174,28 @@ def test_stream_of_slices(spark, tmp_path):
     slices.follow(spark, str(src), dst, chk).awaitTermination()
     (src / "b.json").write_text('{"key": "O0::p::b::t::f", "value": 0.0, "perfect": true}\n{"key": "O0::p::b::t::g", "value": 2.0, "perfect": false}\n')
     slices.follow(spark, str(src), dst, chk).awaitTermination()
-    assert {r.key[-1]: r.value for r in spark.read.parquet(dst + "/v1").collect()} == {"f": 0.0, "g": 2.0}
+    assert {r.key[-1]: r.value for r in slices.state(spark, dst).collect()} == {"f": 0.0, "g": 2.0}
+    whole = slices.compact(spark, dst, str(tmp_path / "whole"))
+    assert {r.key[-1]: r.value for r in whole.collect()} == {"f": 0.0, "g": 2.0}
     assert facts is not None
+
+
+def test_checkpoints_by_project(spark, tmp_path):
+    new = spark.createDataFrame
+    functions = new([(1, "p", "O0", "b", "f", 3), (2, "q", "O0", "b", "g", 4)], "fn_id long, project string, opt_level string, binary_name string, function_name string, size int")
+    obs = new([(1, "t", "ged", 1.0), (2, "t", "ged", 2.0)], "fn_id long, dec string, metric string, value double")
+    attempts = new([(1, "t", True), (2, "u", False)], "fn_id long, dec string, decompiled boolean")
+    data = Dataset(functions, obs, attempts, new([("t", 0)], "dec string, pos int"), new([("ged", 0)], "metric string, pos int"))
+    path = str(tmp_path / "run")
+    function_data.save(data, path)
+    later = data.having(functions=functions.where("project = 'q'"), obs=new([(2, "t", "ged", 5.0)], obs.schema))
+    function_data.save(later, path)  # replaces the one project
+    got = function_data.load(spark, path)
+    assert {r.fn_id: r.value for r in got.obs.collect()} == {1: 1.0, 2: 5.0} and "project" not in got.obs.columns
+    assert {tuple(r) for r in function_data.present_decs(got).collect()} == {("p", "t"), ("q", "u")}
+    part = function_data.load(spark, path, exclude=("p",))
+    assert [r.project for r in part.functions.collect()] == ["q"] and part.obs.count() == 1
+    bad = next((tmp_path / "run" / "obs" / "project=q").glob("*.parquet"))
+    bad.write_bytes(b"broken")
+    (bad.parent / f".{bad.name}.crc").unlink(missing_ok=True)
+    assert {r.fn_id for r in function_data.load(spark, path).obs.collect()} == {1}
