@@ -6,12 +6,13 @@ documents in paths, paths in hosts, hosts around a global mean. Variances betwee
 paths and inside paths are estimated from grouped sums by the method of moments. A path's posterior
 shrinks its mean towards its host's, a host's towards the global mean, the more the fewer documents
 it has; a document's own evidence is left out of what it is compared with. The document's log odds
-are then shifted by ``SITE_WEIGHT`` times how far its site's log odds are from the global ones.
+are for the global rate of good documents; the posterior for its own path's rate has them shifted by how
+far the path's log odds are from the global ones.
 
 In the table of documents the source is the host, and source and language are the path. Groups are
 summed before the shuffle, so a source with a third of all rows costs no task more than others.
 Null sources and languages are sites of their own. Null and empty texts have the bias's evidence.
-Repeated rows are each scored. Without labels all evidence is 0.5 and everything is kept. Extra
+Very long texts are read whole. Repeated rows are each scored. Without labels all evidence is 0.5 and everything is kept. Extra
 columns are ignored.
 """
 
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 from . import ftrl
 from .common import materialise, small_batches, table
 
-SITE_WEIGHT = 0.5
 KEEP = 0.5
 LEAST_VARIANCE = 1e-6
 _SHAPE = bytes(0x61 if b >= 0x80 or chr(b).isalpha() else 0x30 if chr(b).isdigit() else b for b in range(256))
@@ -75,7 +75,7 @@ def posteriors(seen: DataFrame) -> DataFrame:
     hn, pn = f("hn") - 1, f("n") - 1
     rows = rows.withColumn("host_score", (F.lit(between_h) * (f("hs") - f("p")) + F.lit(inner) * mean) / (F.lit(between_h) * hn + inner))
     rows = rows.withColumn("path_score", (F.lit(between_p) * (f("s") - f("p")) + F.lit(inner) * f("host_score")) / (F.lit(between_p) * pn + inner))
-    odds = _logit(f("p")) + SITE_WEIGHT * (_logit(f("path_score")) - _logit(F.lit(mean)))
+    odds = _logit(f("p")) + _logit(f("path_score")) - _logit(F.lit(mean))
     rows = rows.withColumn("score", 1 / (1 + F.exp(-odds)))
     return rows.select("doc_id", f("p").alias("doc_score"), "host_score", "path_score", "score", (f("score") >= KEEP).alias("keep"))
 
