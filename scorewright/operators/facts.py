@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import finite, percent
@@ -132,12 +132,16 @@ def distance_stats(facts: DataFrame, presets: bool = True) -> DataFrame:
     rows = active(facts, presets).select("preset", "normalize", F.inline(ok)).select("preset", "normalize", "dec", "metric", "distance")
     by = ["preset", "normalize", "dec", "metric"]
     valued = rows.groupBy(*by, "distance").agg(F.count(F.lit(1)).alias("k"))
-    steps = F.array_sort(F.collect_list(F.struct("distance", "k")))  # distinct values of one tool's distances
-    out = valued.groupBy(*by).agg((F.sum(F.col("distance") * F.col("k")) / F.sum("k")).alias("mean"), F.sum("k").alias("n"), F.sum(F.when(F.col("distance") == 0, F.col("k")).otherwise(0)).alias("at0"), steps.alias("steps"))
-    zero = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("at"))
+    every = Window.partitionBy(*by)
+    valued = valued.withColumns({"n": F.sum("k").over(every), "upto": F.sum("k").over(every.orderBy("distance"))})
     middle = F.floor(F.col("n") / 2)
-    pick = F.aggregate("steps", zero, lambda a, x: F.struct((a["seen"] + x["k"]).alias("seen"), F.when((a["seen"] <= middle) & (middle < a["seen"] + x["k"]), x["distance"]).otherwise(a["at"]).alias("at")), lambda a: a["at"])
-    return out.select(*by, "mean", pick.alias("median"), "n", "at0")
+    at = F.when((F.col("upto") - F.col("k") <= middle) & (middle < F.col("upto")), F.col("distance"))
+    return valued.groupBy(*by).agg(
+        (F.sum(F.col("distance") * F.col("k")) / F.sum("k")).alias("mean"),
+        F.max(at).alias("median"),
+        F.sum("k").alias("n"),
+        F.sum(F.when(F.col("distance") == 0, F.col("k")).otherwise(0)).alias("at0"),
+    )
 
 
 def union_leaders(counts: DataFrame, decs: DataFrame, preset: str, drop_sample_only: bool) -> DataFrame:
