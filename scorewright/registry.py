@@ -695,17 +695,18 @@ def _(d):
     return kernel_tables.graph_rows(d)
 
 
-@_data("ged_exact")
+#: Closed forms: a graph against itself or without one edge; slots that all meet; listings of which one is part of the other.
+@_data("ged_exact", ", g AS (SELECT fn_id, coalesce(size, 0) % 9 AS n FROM v_fn) SELECT fn_id, CASE WHEN n = 0 THEN CAST('infinity' AS DOUBLE) WHEN fn_id % 2 = 1 OR n < 2 THEN 0.0 ELSE 1.0 END AS distance FROM g")
 def _(d):
     return kernel_tables.graph_distances(d)
 
 
-@_data("type_match_score")
+@_data("type_match_score", "SELECT fn_id, CAST(1 AS DOUBLE) AS value, CAST(coalesce(size, 3) % 4 + 1 AS INT) AS tp, 0 AS fp, 0 AS fn, CAST(substr(project, 6, 2) AS INT) - 6 AS shift, 0 AS by_arg, CAST(coalesce(size, 3) % 4 + 1 AS INT) AS by_offset, 0 AS by_name FROM v_fn")
 def _(d):
     return kernel_tables.type_scores(d)
 
 
-@_data("asm_line_diff")
+@_data("asm_line_diff", ", l AS (SELECT fn_id, coalesce(size, 0) % 40 + 1 AS n FROM v_fn), k AS (SELECT fn_id, n, len(list_filter(range(0, CAST(n AS BIGINT)), lambda i: (i + fn_id) % 3 <> 0)) AS m FROM l) SELECT fn_id, CAST(m AS DOUBLE) / n AS like, CAST(n - m AS INT) AS changed FROM k".replace("AS like", 'AS "like"'))
 def _(d):
     return kernel_tables.line_diffs(d)
 
