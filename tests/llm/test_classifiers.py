@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -6,6 +7,7 @@ import pytest
 
 from scorewright.llm import ftrl, quality, toxicity
 
+SF = "/root/testdata/sf0.1"
 DOCS, LABELS = "doc_id long, text string, source string, lang string, score double", "doc_id long, toxic int, quality int, text string"
 
 
@@ -67,6 +69,35 @@ def test_edges(spark, tables):
     assert len(toxicity.toxicity(odd, labels.union(spark.createDataFrame([(7, None, 3, "x"), (7, 1, 1, "x"), (7, 1, 1, "x"), (None, 1, 1, "x")], LABELS))).collect()) == 4
 
 
+def test_calibration():
+    """Scale and intercept against a search on a grid; a half parts scores where both labels are as likely."""
+    r = np.random.default_rng(3)
+    y = (r.random(4000) < 0.1).astype(float)
+    s = r.normal(np.where(y == 1, -1.0, -4.0), 1.0)
+    a, b = ftrl.calibration(s, y, balanced=True)
+    cut = -b / a
+    assert abs(cut + 2.5) < 0.25 and abs((s[y == 1] < cut).mean() - (s[y == 0] > cut).mean()) < 0.05
+    plain = ftrl.calibration(s, y, balanced=False)
+    p = 1 / (1 + np.exp(-(plain[0] * s + plain[1])))
+    assert abs(p.sum() - y.sum()) < 2  # calibrated on the whole
+    t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    loss = lambda k, m: np.mean(np.logaddexp(0, k * s + m) - t * (k * s + m))
+    assert loss(*plain) <= min(loss(k, m) for k in np.linspace(0.2, 6, 40) for m in np.linspace(-5, 15, 60)) + 1e-9
+    parted = np.array([-2.0, -1.0, 1.0, 2.0])
+    assert 0 < ftrl.calibration(parted, np.array([0.0, 0, 1, 1]), False)[0] < 1e3
+    assert ftrl.calibration(s, np.zeros(4000), True) == (1.0, 0.0) and ftrl.calibration(np.zeros(3), np.array([0.0, 1, 1]), True) == (1.0, 0.0)
+    assert ftrl.calibration(-parted, np.array([0.0, 0, 1, 1]), True) == (1.0, 0.0)
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="needs the driver's tables")
+def test_held_out_recall_and_specificity(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    out = toxicity.toxicity(spark.read.parquet(f"{SF}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").collect()
+    caught = np.mean([r.predicted for r in out if r.toxic == 1])
+    left = np.mean([1 - r.predicted for r in out if r.toxic == 0])
+    assert caught >= 0.85 and left >= 0.93
+
+
 def test_bounded_sample(tables):
     docs, labels = tables
     rows = ftrl.labelled(docs, labels, "toxic", most=200).count()
@@ -123,4 +154,4 @@ def test_posteriors_match_plain_loops(spark):
         path = (between_p * (sum(ps) - v) + inner * host) / (between_p * (len(ps) - 1) + inner)
         logit = lambda c: np.log(min(1 - 1e-6, max(1e-6, c)) / (1 - min(1 - 1e-6, max(1e-6, c))))
         assert np.isclose(out[i].host_score, host) and np.isclose(out[i].path_score, path)
-        assert np.isclose(out[i].score, 1 / (1 + np.exp(-(logit(v) + 0.5 * (logit(path) - logit(mean))))))
+        assert np.isclose(out[i].score, 1 / (1 + np.exp(-(logit(v) + logit(path) - logit(mean)))))
