@@ -46,6 +46,10 @@ PSEUDO = 1.0
 GENERALISE = 0.9
 REMOVE = 1.0
 CHUNK = 256
+#: Disclosing terms, of some dozens of bytes each, up to which their table is broadcast; a larger one is joined by a shuffle.
+MOST_BROADCAST = 200_000
+#: Disclosing terms of one text up to which its words are compared with them one by one; beyond that words are joined.
+FEW = 64
 
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 WORDS = "array<struct<term:string,start:int,end:int>>"
@@ -192,9 +196,11 @@ def _elsewhere(docs: DataFrame, texts: DataFrame, terms: DataFrame) -> DataFrame
     """(th, term, start, end): occurrences of ``terms`` in the texts without base spans."""
     rows = docs.select(text_of(docs).alias("t")).withColumn("th", F.xxhash64("t"))
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.col("t"), F.lit(WORD), F.lit(0)), F.lower))
-    hits = rows.select("th", F.explode(words).alias("term")).join(terms, "term", "left_semi").select("th").distinct()
+    hits = rows.select("th", F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("th").agg(F.collect_set("term").alias("found"))  # of one text
     hits = materialise(hits.join(texts.select("th"), "th", "left_anti"), "pii-hits")
-    held = rows.join(hits, "th").dropDuplicates(["th"]).select("th", _words(F.col("t")).alias("words"))
+    held = rows.join(hits, "th").dropDuplicates(["th"])
+    own = lambda ws: F.when(F.size("found") <= FEW, F.filter(ws, lambda w: F.array_contains("found", w["term"]))).otherwise(ws)
+    held = held.select("th", let(_words(F.col("t")), own).alias("words"))
     return held.select("th", F.explode("words").alias("w")).select("th", "w.*").join(terms, "term", "left_semi").select("th", "term", "start", "end")
 
 
@@ -207,7 +213,9 @@ def term_spans(docs: DataFrame, found: DataFrame, everywhere: bool = False) -> D
     told = disclosures(docs, texts, found.count())
     words = texts.select("th", F.explode("words").alias("w")).select("th", "w.*")
     if everywhere:
-        terms = told.groupBy("term").agg(F.max("share").alias("share"))
+        terms = materialise(told.groupBy("term").agg(F.max("share").alias("share")), "pii-told")
+        if terms.count() <= MOST_BROADCAST:
+            terms = F.broadcast(terms)
         # a term of share 1 is in no document without the entity
         loose = terms.where(F.col("share") < 1).select("term")
         one = words.select("th", "term", "start", "end").unionByName(_elsewhere(docs, texts, loose)).join(terms, "term")
@@ -263,14 +271,15 @@ def sanitise(docs: DataFrame, everywhere: bool = False) -> DataFrame:
     base = F.transform("base", lambda s: F.struct(s["start"], s["end"], F.element_at(masks, s["kind"]).alias("to")))
     terms = F.transform("terms", lambda s: F.struct(s["start"], s["end"], F.when(s["share"] >= REMOVE, F.lit("")).alias("to")))
     cuts = found.select(F.col("doc_id").alias("x_id"), F.col("th").alias("x_th"), F.array_sort(F.concat(base, terms)).alias("x_cuts"))
-    text = docs["text"]
-    out = docs.join(cuts, docs["doc_id"].eqNullSafe(F.col("x_id")) & (F.xxhash64(text_of(docs)) == F.col("x_th")), "left")
+    left = docs.select(*[docs[c].alias(f"d_{c}") for c in docs.columns])  # no column can clash with those of the cuts
+    text = F.col("d_text").cast("string")
+    out = left.join(cuts, F.col("d_doc_id").eqNullSafe(F.col("x_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("x_th")), "left")
     hit = F.col("x_cuts").isNotNull()
     clean = F.when(hit, _rewrite(text, F.col("x_cuts"))).otherwise(text)
     change = {"text": clean}
     if "n_chars" in docs.columns:
-        change["n_chars"] = F.when(hit, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
-    return out.select(*[change.get(c, docs[c]).alias(c) for c in docs.columns])
+        change["n_chars"] = F.when(hit, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("d_n_chars"))
+    return out.select(*[change.get(c, F.col(f"d_{c}")).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir):

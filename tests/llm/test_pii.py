@@ -152,6 +152,24 @@ def test_disclosed_terms_in_all_documents(spark):
     assert all("Quetzal" not in clean[i] and "<EMAIL>" in clean[i] for i in range(12))
 
 
+def test_plans_agree(spark, monkeypatch):
+    """Terms sent to all tasks or joined by a shuffle, compared one by one or joined: the same spans."""
+    rows = [(i, f"Quetzal{'abcd'[i % 4]} Axolotl writes from joe{i % 3}@mail.example, some words") for i in range(12)]
+    rows += [(i, f"the Axolotl and Quetzal{'abcd'[i % 4]} fly" if i % 9 == 0 else "plain filler words") for i in range(100, 400)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    want = sorted(map(tuple, op.spans(df, everywhere=True).collect()))
+    monkeypatch.setattr(op, "MOST_BROADCAST", -1)
+    monkeypatch.setattr(op, "FEW", 0)
+    assert sorted(map(tuple, op.spans(df, everywhere=True).collect())) == want and any("term" in r[6] for r in want)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a joe@mail.example", "x", 18), (None, None, "y", 0)], SCHEMA)
+    df = df.selectExpr("*", "1 as x_id", "2 as x_th", "3 as x_cuts", "4 as d_text", "5 as terms", "6 as base")
+    out = op.sanitise(df, everywhere=True)
+    assert out.columns == df.columns and sorted((str(r.doc_id), r.text, r.x_cuts) for r in out.collect()) == [("1", "a <EMAIL>", 3), ("None", None, 3)]
+
+
 def test_terms_of_rare_entities(spark):
     rows = [(0, "Axolotl keeper joe@mail.example plain words"), (1, "Quetzal ann@mail.example plain words"), (2, "Quetzal ann@mail.example"), (3, "Quetzal plain"), (4, "a Quetzal")]
     rows += [(i, "keeper of plain words") for i in range(10, 3000)]
