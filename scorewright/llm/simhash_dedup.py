@@ -37,8 +37,9 @@ SHINGLE = 4
 SEED = 42
 #: First bit and width of each segment: 3 segments for a distance of 4.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Members from which a variant is split by pairs of parts of the bits outside its segment.
-CROWD, PARTS = 64, 6
+#: Members from which a variant is split by pairs of parts of the bits outside its segment. Up to
+#: there a variant takes some four million comparisons of bits, less than fifteen rows a member.
+CROWD, PARTS = 2048, 6
 
 
 def simhash(text: str | None, width: int = SHINGLE) -> int:
