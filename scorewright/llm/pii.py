@@ -22,6 +22,8 @@ kept by ``sanitise``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ WORD = r"(?<![\p{L}\p{N}])\p{L}{4,}+(?!\p{N})"
 PSEUDO = 1.0
 GENERALISE = 0.9
 REMOVE = 1.0
-CHUNK = 256
+CHUNK = 64
 #: Disclosing terms, of some dozens of bytes each, up to which their table is broadcast; a larger one is joined by a shuffle.
 MOST_BROADCAST = 200_000
 #: Disclosing terms of one text up to which its words are compared with them one by one; beyond that words are joined.
@@ -82,16 +84,17 @@ CHECKS = {
 }
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of all matches, in code points.
+def matches(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct<start, end, value>> of all matches, or those that ``keep`` accepts, in code points.
 
     The text between matches and the matches add up to the places. They are summed in chunks of
-    ``CHUNK`` matches, so that very many matches take no quadratic time.
+    ``CHUNK`` matches, so that very many matches take no quadratic time. Matches that are not kept
+    only move the place: a list that grows is copied at each step.
     """
 
     def places(found: Column) -> Column:
-        gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), F.length)
-        steps = F.arrays_zip(gaps.alias("gap"), found.alias("value"))
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+        steps = F.zip_with(gaps, found, lambda gap, value: F.struct(F.length(gap).alias("0"), value.alias("1")))
 
         def chunked(s: Column) -> Column:
             chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / CHUNK).cast("int")), lambda c: F.slice(s, c * CHUNK + 1, F.lit(CHUNK)))
@@ -107,7 +110,8 @@ def matches(text: Column, pattern: str) -> Column:
                         first = a["at"] + x["0"]
                         end = first + F.length(x["1"])
                         one = F.struct(first.alias("start"), end.alias("end"), x["1"].alias("value"))
-                        return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+                        more = F.concat(a["out"], F.array(one))
+                        return F.struct(end.alias("at"), (F.when(keep(x["1"]), more).otherwise(a["out"]) if keep else more).alias("out"))
 
                     return F.aggregate(c, zero, add, lambda a: a["out"])
 
@@ -115,8 +119,7 @@ def matches(text: Column, pattern: str) -> Column:
 
             return let(chunks, within)
 
-        named = F.transform(steps, lambda x: F.struct(x["gap"].alias("0"), x["value"].alias("1")))
-        return let(named, chunked)
+        return let(steps, chunked)
 
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, places(m)).otherwise(none))
@@ -127,10 +130,7 @@ def base_spans(text: Column) -> Column:
     none = F.array().cast(SPAN)
 
     def of(kind: str) -> Column:
-        check = CHECKS[kind]
-        found = matches(text, PATTERNS[kind])
-        if check:
-            found = F.filter(found, lambda m: check(m["value"]))
+        found = matches(text, PATTERNS[kind], CHECKS[kind])
         named = F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
         possible = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else text.rlike("[0-9][\\x20-]?[0-9]")
         return F.when(possible, named).otherwise(none)
@@ -156,15 +156,15 @@ def _blanked(text: Column, base: Column) -> Column:
     return F.aggregate(cuts, zero, add, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
 
 
-def _words(text: Column) -> Column:
-    """array<struct<term, start, end>>: all words of ``text``."""
-    return F.transform(matches(text, WORD), lambda m: F.struct(F.lower(m["value"]).alias("term"), m["start"], m["end"]))
+def _words(text: Column, keep: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct<term, start, end>>: all words of ``text``, or those that ``keep`` accepts."""
+    return F.transform(matches(text, WORD, keep), lambda m: F.struct(F.lower(m["value"]).alias("term"), m["start"], m["end"]))
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """(doc_id, th, base, words) of each row: th is a hash of the text, base the base spans, words those outside of them if there are any."""
     rows = docs.select("doc_id", text_of(docs).alias("t")).withColumn("base", base_spans(F.col("t")))
-    words = F.when(F.size("base") > 0, let(_blanked(F.col("t"), F.col("base")), _words)).otherwise(F.array().cast(WORDS))
+    words = F.when(F.size("base") > 0, let(_blanked(F.col("t"), F.col("base")), lambda t: _words(t))).otherwise(F.array().cast(WORDS))
     return rows.select("doc_id", F.xxhash64("t").alias("th"), "base", words.alias("words"))
 
 
@@ -192,16 +192,26 @@ def disclosures(docs: DataFrame, texts: DataFrame, total: int) -> DataFrame:
     return materialise(both.select("entity", "term", plain.alias("share")), "pii-disclosed")
 
 
-def _elsewhere(docs: DataFrame, texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(th, term, start, end): occurrences of ``terms`` in the texts without base spans."""
+def _elsewhere(docs: DataFrame, texts: DataFrame, terms: DataFrame, small: bool = False) -> DataFrame:
+    """(th, term, start, end): occurrences of ``terms`` in the texts without base spans.
+
+    small: ``terms`` can be broadcast. Words then meet them where the text is read, and only texts with one of them are shuffled.
+    """
     rows = docs.select(text_of(docs).alias("t")).withColumn("th", F.xxhash64("t"))
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.col("t"), F.lit(WORD), F.lit(0)), F.lower))
-    hits = rows.select("th", F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("th").agg(F.collect_set("term").alias("found"))  # of one text
-    hits = materialise(hits.join(texts.select("th"), "th", "left_anti"), "pii-hits")
-    held = rows.join(hits, "th").dropDuplicates(["th"])
-    own = lambda ws: F.when(F.size("found") <= FEW, F.filter(ws, lambda w: F.array_contains("found", w["term"]))).otherwise(ws)
-    held = held.select("th", let(_words(F.col("t")), own).alias("words"))
-    return held.select("th", F.explode("words").alias("w")).select("th", "w.*").join(terms, "term", "left_semi").select("th", "term", "start", "end")
+    if small:
+        terms = F.broadcast(terms)
+        each = rows.withColumn("words", words).select("th", "t", F.explode_outer("words").alias("term")).join(terms, "term", "left_semi")
+        held = each.groupBy("th").agg(F.collect_set("term").alias("found"), F.any_value("t").alias("t"))  # of one text
+        held = held.join(texts.select("th"), "th", "left_anti")
+    else:
+        hits = rows.select("th", F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("th").agg(F.collect_set("term").alias("found"))  # of one text
+        hits = materialise(hits.join(texts.select("th"), "th", "left_anti"), "pii-hits")
+        held = rows.join(hits, "th").dropDuplicates(["th"])
+    own = lambda word: (F.size("found") > FEW) | F.array_contains("found", F.lower(word))
+    held = held.select("th", _words(F.col("t"), own).alias("words"))
+    # outer: of a plain explode Spark infers filters that find all words twice more; the join drops the nulls
+    return held.select("th", F.explode_outer("words").alias("w")).select("th", "w.*").join(terms, "term", "left_semi").select("th", "term", "start", "end")
 
 
 def term_spans(docs: DataFrame, found: DataFrame, everywhere: bool = False) -> DataFrame:
@@ -214,11 +224,12 @@ def term_spans(docs: DataFrame, found: DataFrame, everywhere: bool = False) -> D
     words = texts.select("th", F.explode("words").alias("w")).select("th", "w.*")
     if everywhere:
         terms = materialise(told.groupBy("term").agg(F.max("share").alias("share")), "pii-told")
-        if terms.count() <= MOST_BROADCAST:
+        small = terms.count() <= MOST_BROADCAST
+        if small:
             terms = F.broadcast(terms)
         # a term of share 1 is in no document without the entity
         loose = terms.where(F.col("share") < 1).select("term")
-        one = words.select("th", "term", "start", "end").unionByName(_elsewhere(docs, texts, loose)).join(terms, "term")
+        one = words.select("th", "term", "start", "end").unionByName(_elsewhere(docs, texts, loose, small)).join(terms, "term")
     else:
         mentioned = texts.select("th", F.explode("entities").alias("entity")).join(told, "entity")
         one = words.join(mentioned.groupBy("th", "term").agg(F.max("share").alias("share")), ["th", "term"])

@@ -182,3 +182,20 @@ def test_terms_of_rare_entities(spark):
         assert (share >= 0.9) == (word == "Axolotl")
     assert out[0] == "email:15:31,term:0:7"
     assert [out[i] for i in (1, 2, 3, 4, 10)] == ["email:8:24", "email:8:24", "", "", ""]
+
+
+def test_words_elsewhere_are_found_once(spark):
+    df = spark.createDataFrame([(1, "the Quetzal flies, a quetzal", "x", 1), (2, "Quetzals fly", "x", 1)], SCHEMA)
+    texts = spark.createDataFrame([], "th long")
+    for small in (False, True):
+        out = op._elsewhere(df, texts, spark.createDataFrame([("quetzal",)], "term string"), small)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 1
+        assert sorted((r.term, r.start, r.end) for r in out.collect()) == [("quetzal", 4, 11), ("quetzal", 21, 28)]
+
+
+def test_matches_kept(spark):
+    text = " ".join(f"word{'abcdefgh'[i % 8] * 3}" if i % 5 else "Keep" for i in range(1000))
+    df = spark.createDataFrame([(text,)], "t string")
+    want = [("keep", m.start(), m.end()) for m in re.finditer("Keep", text)]
+    assert [tuple(w) for w in df.select(op._words(op.F.col("t"), lambda v: op.F.lower(v) == "keep").alias("w")).first().w] == want
