@@ -88,7 +88,10 @@ def variants(fps: DataFrame) -> DataFrame:
 
 
 def _split(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, fp, m) with ``sub``: null, or for members of a crowded variant fifteen rows, one for each pair of equal parts."""
+    """``rows`` (key, fp, m) with ``sub``: null, or for members of a crowded variant fifteen rows, one for each pair of equal parts.
+
+    Only members of crowded variants are exploded; all others stay the one row that they are.
+    """
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
     masks = []
     for start, width in SEGMENTS:
@@ -98,8 +101,8 @@ def _split(rows: DataFrame) -> DataFrame:
     segment = F.array(*[F.lit(next(i for i, (s, w) in enumerate(SEGMENTS) if s <= p < s + w)) for p in range(64)])
     own = F.get(F.array(*[F.array(*map(F.lit, m)) for m in masks]), segment[F.pmod("key", F.lit(64)).cast("int")])
     subs = F.transform(own, lambda m, i: F.xxhash64(i, F.col("fp").bitwiseAND(m)))
-    none = F.array(F.lit(None).cast("long"))
-    return rows.withColumn("sub", F.explode(F.when(F.col("m") > CROWD, subs).otherwise(none)))
+    whole = rows.where(F.col("m") <= CROWD).withColumn("sub", F.lit(None).cast("long"))
+    return whole.unionByName(rows.where(F.col("m") > CROWD).withColumn("sub", F.explode(subs)))
 
 
 def _near(a: str, b: str, distance: int):

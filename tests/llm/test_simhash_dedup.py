@@ -120,3 +120,11 @@ def test_keep_one_of_repeated_rows(spark):
     assert kept.columns == df.columns
     assert sorted((str(r.doc_id), (r.text or "")) for r in kept.collect()) == [("5", text), ("5", "zz yy"), ("7", ""), ("None", "qq")]
     assert op.keep_one(df.limit(0)).collect() == []
+
+
+def test_only_crowded_variants_are_exploded(spark):
+    rows = spark.createDataFrame([(64 * i, i, 3 if i else op.CROWD + 1) for i in range(5)], "key long, fp long, m long")
+    out = op._split(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate") :]
+    assert f"> {op.CROWD})" in below and sorted(r.fp for r in out.collect()) == [0] * 15 + [1, 2, 3, 4]
