@@ -206,15 +206,18 @@ def printed(keys: Column) -> Column:
     return let(size_of(keys), lambda m: F.concat_ws(":", F.size(keys).cast("string"), m.cast("string"), F.replace(sketch(keys, m).cast("string"), F.lit(" "))))
 
 
-def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, buckets: int | None = None, also: dict[str, Column] | None = None) -> DataFrame:
     """(doc_id, text, next_text): each document beside the next by descending id (after the last: the first).
 
+    also: columns of "text" that are computed once and come as the document's own and, as next_<name>, the next one's.
+
     Ids are cut into ranges of about equal counts, and each range is a window of its own. The last
     document of a range needs the first of the following range that has any: those few are sent to
     both. A row for each range is all that is looked at together.
     """
-    spark = docs.sparkSession
+    spark, also = docs.sparkSession, also or {}
     own = docs.select("doc_id", text_of(docs).alias("text"))
+    kept = ["doc_id", "text", *also]
     ids = own.select("doc_id")
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = ids.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
@@ -231,26 +234,29 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     before = {b: ring[i - 1] for i, b in enumerate(ring)}
     head = materialise(head, "iblt-heads")
     if not ring:
-        return own.withColumn("next_text", F.lit(None).cast("string"))
+        none = own.withColumns(also).withColumn("next_text", F.lit(None).cast("string"))
+        return none.withColumns({f"next_{c}": F.col(c) for c in also})
     prior = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("b"))
     marked = rows.join(head.select(F.col("b").alias("hb"), "top", "th").hint("broadcast"), (F.col("b") == F.col("hb")) & F.col("doc_id").eqNullSafe(F.col("top")) & (F.xxhash64("text") == F.col("th")), "left")
     places = F.when(F.col("hb").isNotNull(), F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("guest")), F.struct(prior.alias("b"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("guest"))))
-    dealt = marked.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.b", "p.guest")
+    dealt = marked.select("doc_id", "text", places.alias("p")).withColumns(also)
+    dealt = dealt.select(*kept, F.explode("p").alias("p")).select(*kept, "p.b", "p.guest")
     w = Window.partitionBy("b").orderBy(F.col("guest"), *order)
-    return dealt.withColumn("next_text", F.lead("text").over(w)).where("guest = 0").select("doc_id", "text", "next_text")
+    dealt = dealt.withColumns({"next_text": F.lead("text").over(w)} | {f"next_{c}": F.lead(c).over(w) for c in also})
+    return dealt.where("guest = 0").select(*kept, "next_text", *[f"next_{c}" for c in also])
 
 
-def edited(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text, edited): the latter half replaced by as much of the next document's beginning."""
+def edited(docs: DataFrame, also: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, text, next_text, edited), and ``also`` as in ``with_next``: the latter half replaced by as much of the next document's beginning."""
     half = F.floor(F.length("text") / 2).cast("int")
     text = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
-    return with_next(docs).withColumn("edited", text)
+    return with_next(docs, also=also).withColumn("edited", text)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows = edited(docs)
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), elements(F.col("text")).alias("a"), elements(F.col("edited")).alias("e"), elements(F.col("next_text")).alias("x"))
+    rows = edited(docs, {"a": elements(F.col("text"))})
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "a", elements(F.col("edited")).alias("e"), F.col("next_a").alias("x"))
     return rows.select(
         "doc_id",
         "n_chars",

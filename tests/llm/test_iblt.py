@@ -150,3 +150,13 @@ def test_edges(spark):
     assert one[0].edited_sha256 == hashlib.sha256(b"abc.abc.").hexdigest() and one[0].near_next == 1.0
     twice = op.fingerprints(frame(spark, [(5, "abc. def"), (5, "abc. def"), (None, None), (None, "z")])).collect()
     assert len(twice) == 4
+
+
+def test_elements_of_a_document_are_taken_once(spark):
+    df = spark.createDataFrame([(i, f"One {i}. Two. Three {i % 3}.\nFour. Two.") for i in range(9)] + [(4, "again. again."), (None, None)], "doc_id long, text string")
+    plan = op.fingerprints(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # its own and the edited text's; the next one's come along
+    rows = op.with_next(df, 3, {"a": op.elements(op.F.col("text"))}).select("a", "next_a", op.elements(op.F.col("text")).alias("t"), op.elements(op.F.col("next_text")).alias("n")).collect()
+    assert len(rows) == 11 and all(r.a == r.t and r.next_a == r.n for r in rows)
+    none = op.with_next(df.limit(0), None, {"a": op.elements(op.F.col("text"))})
+    assert none.columns == ["doc_id", "text", "a", "next_text", "next_a"] and none.collect() == []
