@@ -4,9 +4,9 @@ Labelled rows, at most about ``MOST_LABELLED``, are dealt into ``FOLDS`` folds b
 model learns from all of them and one more without each fold; each of these few models is a task that
 streams over the rows ``ROUNDS`` times, so memory is bounded by the model. In-sample scores are
 saturated, so the scale and intercept of the scores are fitted on every row's score by the model that
-hasn't seen its fold (Platt's smoothed logistic fit), and folded into the weights. The driver only sees
-the models' states, which ``DIMS`` bounds, and a label and a score for each training row. L1 leaves
-few weights other than zero; those are what a scoring task gets.
+hasn't seen its fold (Platt's smoothed logistic fit), and folded into the weights. L1 leaves few weights
+other than zero; those are all that leaves a model's task. The driver sees them, and a label and a score
+for each training row.
 """
 
 from __future__ import annotations
@@ -44,9 +44,8 @@ def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, w)
 
 
-def pass_over(rows: Iterator[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """One pass of FTRL-proximal; changes ``z`` and ``n``, returns which coordinates it touched."""
-    touched = np.zeros(DIMS + 1, bool)
+def pass_over(rows: Iterator[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray) -> None:
+    """One pass of FTRL-proximal; changes ``z`` and ``n``."""
     for idx, y in rows:
         idx = np.append(idx, BIAS)
         zi, ni = z[idx], n[idx]
@@ -55,8 +54,6 @@ def pass_over(rows: Iterator[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarr
         step = (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA
         z[idx] = zi + g - step * w
         n[idx] = ni + g * g
-        touched[idx] = True
-    return touched
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST_LABELLED) -> DataFrame:
@@ -73,26 +70,30 @@ def held_out(doc_id: str):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def _one_pass(states):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = None
-        for b in batches:  # of one model
-            if z is None:
-                model = int(b["model"].iat[0])
-                z, n = (a.copy() for a in states.value[model])
-                touched = np.zeros(DIMS + 1, bool)
-            touched |= pass_over(zip(b["x"], b["y"], strict=True), z, n)
-        if z is not None:
-            at = np.flatnonzero(touched)
-            yield pd.DataFrame({"model": [model], "i": [at.astype(np.int32).tobytes()], "z": [z[at].tobytes()], "n": [n[at].tobytes()]})
+def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The model's weights other than zero, after all of its rows as often as they come."""
+    model, z, n = None, np.zeros(DIMS + 1), np.zeros(DIMS + 1)
+    for b in batches:  # of one model
+        if len(b):
+            model = int(b["model"].iat[0])
+            pass_over(zip(b["x"], b["y"], strict=True), z, n)
+    if model is not None:
+        w = weights(z, n)
+        some = np.flatnonzero(w).astype(np.int32)
+        yield pd.DataFrame({"model": [model], "i": [some.tobytes()], "w": [w[some].tobytes()]})
 
-    return run
+
+def _dense(model: Model) -> np.ndarray:
+    w = np.zeros(DIMS + 1)
+    w[model[0]] = model[1]
+    return w
 
 
-def _out_of_fold(models):
+def _out_of_fold(sent):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = [_dense(m) for m in sent.value]
         for b in batches:
-            scores = [float(models.value[k][x].sum() + models.value[k][BIAS]) for x, k in zip(b["x"], b["fold"], strict=True)]
+            scores = [float(models[k][x].sum() + models[k][BIAS]) for x, k in zip(b["x"], b["fold"], strict=True)]
             yield pd.DataFrame({"s": scores, "y": b["y"]})
 
     return run
@@ -140,23 +141,19 @@ def train(rows: DataFrame, features: Features, balanced: bool = False) -> Model:
     data = spark.read.schema("y int, x array<int>, fold int").parquet(path)
     if data.isEmpty():
         return np.zeros(0, np.int32), np.zeros(0)
-    # model ``FOLDS`` has all rows, the others lack their fold; each in one task, in the same order in each round
-    own = [data.where(F.col("fold") != k).coalesce(1).select(F.lit(k).alias("model"), "x", "y") for k in range(FOLDS + 1)]
-    dealt = reduce(DataFrame.union, own)
-    states = [(np.zeros(DIMS + 1), np.zeros(DIMS + 1)) for _ in own]
-    for _ in range(ROUNDS):
-        sent = spark.sparkContext.broadcast(states)
-        with setting(spark, "spark.sql.unionOutputPartitioning", "false"):  # else the models' single partitions become one
-            got = dealt.mapInPandas(_one_pass(sent), "model int, i binary, z binary, n binary").collect()  # a row for each model, of DIMS + 1 numbers at most
-        for r in got:
-            for a, name in zip(states[r["model"]], ("z", "n"), strict=True):
-                a[np.frombuffer(r["i"], np.int32)] = np.frombuffer(r[name])
-        sent.destroy()
-    sent = spark.sparkContext.broadcast([weights(z, n) for z, n in states[:FOLDS]])
+    # model ``FOLDS`` has all rows, the others lack their fold; each in one task, which reads them once for each round
+    models = [(np.zeros(0, np.int32), np.zeros(0)) for _ in range(FOLDS + 1)]
+    own = [data.where(F.col("fold") != k).select(F.lit(k).alias("model"), "x", "y") for k in range(FOLDS + 1)]
+    dealt = reduce(DataFrame.union, [reduce(DataFrame.union, [rounds] * ROUNDS).coalesce(1) for rounds in own])
+    with setting(spark, "spark.sql.unionOutputPartitioning", "false"):  # else the models' single partitions become one
+        learnt = dealt.mapInPandas(_learn, "model int, i binary, w binary").collect()  # a row for each model: few of DIMS + 1 weights
+    for r in learnt:
+        models[r["model"]] = np.frombuffer(r["i"], np.int32), np.frombuffer(r["w"])
+    sent = spark.sparkContext.broadcast(models[:FOLDS])
     seen = data.mapInPandas(_out_of_fold(sent), "s double, y int").toArrow()  # a row for each training row
     sent.destroy()
     scale, shift = calibration(seen["s"].to_numpy(), seen["y"].to_numpy().astype(float), balanced)
-    w = scale * weights(*states[FOLDS])
+    w = scale * _dense(models[FOLDS])
     w[BIAS] += shift
     some = np.flatnonzero(w).astype(np.int32)
     return some, w[some]
@@ -168,9 +165,8 @@ def scorer(spark, model: Model, features: Features):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        some, w = sent.value
-        dense = np.zeros(DIMS + 1)
-        dense[some] = w
+        some, _ = sent.value
+        dense = _dense(sent.value)
         live = dense != 0
         for texts in batches:
             out = np.zeros(len(texts))

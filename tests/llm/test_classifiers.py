@@ -1,4 +1,5 @@
 import os
+import pickle
 import random
 import zlib
 
@@ -123,6 +124,27 @@ def test_pass_matches_plain_loops():
     assert all(np.isclose(z[i], v) for i, v in zz.items()) and all(np.isclose(n[i], v) for i, v in nn.items())
 
 
+def test_rounds_match_passes_over_all_rows(spark):
+    """Equal rows, so that their order is the same in any case; of one label, so that nothing is calibrated."""
+    learnt = [i for i in range(40) if not held(i)]
+    docs = spark.createDataFrame([(i, "a lump of coal", "s", "en", 0.0) for i in range(40)], DOCS).repartition(3)
+    some, w = toxicity.train(docs, spark.createDataFrame([(i, 1, 1, "x") for i in range(40)], LABELS))
+    z, n = np.zeros(ftrl.DIMS + 1), np.zeros(ftrl.DIMS + 1)
+    ftrl.pass_over([(np.unique(toxicity.features("a lump of coal")), 1)] * len(learnt) * ftrl.ROUNDS, z, n)
+    want = ftrl.weights(z, n)
+    assert some.tolist() == np.flatnonzero(want).tolist() != [] and np.allclose(w, want[some])
+
+
+def test_models_states_stay_off_the_driver(spark, tables, monkeypatch):
+    """A model's state has megabytes; only weights other than zero come to the driver and go from it."""
+    context, sent = type(spark.sparkContext), []
+    plain = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: sent.append(len(pickle.dumps(value))) or plain(self, value))
+    docs, labels = tables
+    some, _ = toxicity.train(docs, labels)
+    assert len(some) and sent and max(sent) < 100_000
+
+
 def test_quality(tables):
     docs, labels = tables
     out = {r.doc_id: r for r in quality.quality(docs, labels).collect()}
